@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import bpe, mixing, sharding, simhash
+from sedimenta.llm import bpe, hnsw, language, lines, mixing, sharding, simhash, topk, toxicity, warc
 
 
 def queries():
@@ -10,9 +10,20 @@ def queries():
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_sharding": sharding.op2_sharding,
         "op3_simhash_dedup": simhash.op3_simhash_dedup,
+        "op4_line_dedup": lines.op4_line_dedup,
+        "op5_topk_search": topk.op5_topk_search,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_warc": warc.op7_warc,
+        "op8_language_id": language.op8_language_id,
+        "op9_embedding_dedup": hnsw.op9_embedding_dedup,
         "op10_source_mixing": mixing.op10_source_mixing,
     }
 
 
 def oracle_sql():
-    return {"op10_source_mixing": mixing.OP10_SQL}
+    return {
+        "op5_topk_search": topk.OP5_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op9_embedding_dedup": hnsw.OP9_SQL,
+        "op10_source_mixing": mixing.OP10_SQL,
+    }
