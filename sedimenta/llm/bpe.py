@@ -187,19 +187,24 @@ def codec(tokens: list[bytes], pattern: str, key) -> Codec:
     return _CODECS[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokens, pattern: str, key, digest: bool) -> Iterator[pa.RecordBatch]:
+_KINDS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def _encode(batches: Iterator[pa.RecordBatch], tokens, pattern: str, key, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     own = codec(tokens.value, pattern, key)
     for b in batches:
-        out: list[tuple] = []
-        for t in b.column(1):
-            ids = own.encode(t.as_py())
-            if digest:
-                out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            else:
-                out.append((len(ids), ids.astype(np.int32)))
-        cols = list(zip(*out, strict=True)) if out else [()] * (3 if digest else 2)
-        arrays = [pa.array(cols[0], pa.int64())] + ([pa.array(c, pa.string()) for c in cols[1:]] if digest else [pa.array(cols[1], pa.list_(pa.int32()))])
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids",))])
+        for at in range(0, b.num_rows, 512):
+            part, out = b.slice(at, 512), {c: [] for c in columns}
+            for t in part.column(1):
+                ids = own.encode(t.as_py())
+                for c, values in out.items():
+                    if c == "n_tokens":
+                        values.append(len(ids))
+                    elif c == "ids":
+                        values.append(ids.astype(np.int32))
+                    else:
+                        values.append(hashlib.sha256(ids.tobytes() if c == "ids_sha256" else own.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[c], _KINDS[c]) for c in columns)], ["doc_id", *columns])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], tokens) -> Iterator[pa.RecordBatch]:
@@ -209,14 +214,14 @@ def _decode(batches: Iterator[pa.RecordBatch], tokens) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
 
-def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     tokens = read_ranks(path)
     key = (hashlib.sha256(b"\n".join(tokens)).hexdigest(), pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    work = partial(_encode, tokens=spark.sparkContext.broadcast(tokens), pattern=pattern, key=key, digest=digest)
+    schema = f"doc_id {kind}, " + ", ".join(f"{c} { {'n_tokens': 'bigint', 'ids': 'array<int>'}.get(c, 'string') }" for c in columns)
+    work = partial(_encode, tokens=spark.sparkContext.broadcast(tokens), pattern=pattern, key=key, columns=columns)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(work, schema)
 
 
@@ -226,7 +231,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null and empty texts have no tokens. Repeated rows get a row each; other columns are ignored. The broadcast is the
     vocabulary, whose size is fixed.
     """
-    return _run(docs, path, pattern, digest=False)
+    return _run(docs, path, pattern, ("n_tokens", "ids"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -237,9 +242,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, tokens=spark.sparkContext.broadcast(read_ranks(path))), f"doc_id {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens and the digests of ids and decoded bytes."""
-    return _run(docs, path, pattern, digest=True)
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, perhaps ids, and the digests of ids and decoded bytes."""
+    return _run(docs, path, pattern, ("n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"))
 
 
 def op1_byte_bpe(spark, sf_dir):

@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Buckets of up to this many members are compared pair by pair; larger ones leader by leader.
-PAIRWISE_MEMBERS = 16
+#: Buckets of up to this many members are compared pair by pair; larger ones with some leaders at a time.
+PAIRWISE_MEMBERS = 24
+LEADERS = 64
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -110,41 +112,49 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def within(a: str, b: str, tau: int):
+    """Whether two columns of fingerprints differ in tau bits or fewer."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int) -> DataFrame:
     """Components of the graph whose links are pairs that share a bucket and pass a test.
 
-    members: (key.., id long), where key columns are all but id; verify takes and returns pairs (a, b).
+    members: (key.., id long, fp long), where fp is the id's fingerprint; pairs whose fingerprints differ in more than
+    tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test.
     The result (id, root) has a row for each linked id. It equals the components of all verified pairs of all
-    buckets, but never lists the pairs of a large bucket: there one leader at a time is compared with the
-    members of other components, and leaves. A bucket is done when one component is left. So a bucket of n
-    near copies costs n tests, and each round at most one test for each row.
+    buckets, but never lists the pairs of a large bucket: its members are compared with its first, then, round by
+    round, with the first member of up to LEADERS of its components unless they are in it already; these leaders have
+    then met all others and leave. A bucket is done when one component is left. So a bucket of n near copies costs
+    n tests, and each round at most LEADERS tests for each row.
     """
-    keys = [c for c in members.columns if c != "id"]
+    keys = [c for c in members.columns if c not in ("id", "fp")]
     sizes = cut(members.groupBy(*keys).agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "buckets")
     pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     several = sizes.where("n > 2")
     large = None
     if not several.isEmpty():
-        rows = cut(members.join(several, keys).select(*keys, "id", "n", "lo"), "members")
+        rows = cut(members.join(several, keys).select(*keys, "id", "fp", "n", "lo"), "members")
         few = rows.where(F.col("n") <= PAIRWISE_MEMBERS)
-        near = few.select(*keys, F.col("id").alias("a")).join(few.select(*keys, F.col("id").alias("b")), keys).where("a < b")
+        near = few.select(*keys, F.col("id").alias("a"), F.col("fp").alias("fa")).join(few.select(*keys, F.col("id").alias("b"), F.col("fp").alias("fb")), keys).where((F.col("a") < F.col("b")) & within("fa", "fb", tau))
         large = rows.where(F.col("n") > PAIRWISE_MEMBERS)
         pairs = pairs.unionByName(near.select("a", "b")).unionByName(large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-        large = large.where("id <> lo").select(*keys, "id")
+        large = large.where("id <> lo").select(*keys, "id", "fp")
     found = cut(verify(pairs.distinct()), "links")
     labels = components(found)
     while large is not None and not large.isEmpty():
-        own = large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        own = cut(own, "large")
-        mixed = own.groupBy(*keys).agg(F.min("id").alias("lo"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        mixed = cut(mixed.select(*keys, "lo"), "mixed")
-        if mixed.isEmpty():
+        own = cut(large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "large")
+        leads = own.groupBy(*keys, "root").agg(F.min(F.struct("id", "fp")).alias("lead")).select(*keys, "root", F.col("lead.id").alias("lead"), F.col("lead.fp").alias("lead_fp"))
+        mixed = own.groupBy(*keys).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*keys)
+        turn = F.row_number().over(W.partitionBy(*keys).orderBy("lead"))
+        leads = cut(leads.join(mixed, keys).withColumn("turn", turn).where(F.col("turn") <= LEADERS).select(*keys, F.col("root").alias("lead_root"), "lead", "lead_fp"), "leads")
+        if leads.isEmpty():
             break
-        open_ = own.join(mixed, keys)
-        lead = open_.where("id = lo").select(*keys, F.col("root").alias("lead_root"))
-        cross = open_.join(cut(lead, "lead"), keys).where("root <> lead_root").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-        more = verify(cross.distinct())
-        found = cut(found.unionByName(more), "links")
-        labels = components(found)
-        large = cut(open_.where("id <> lo").select(*keys, "id"), "members")
+        cross = own.join(leads, keys).where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+        more = cut(verify(cross.distinct()), "links")
+        if not more.isEmpty():
+            found = cut(found.unionByName(more), "links")
+            labels = components(found)
+        done = leads.select(*keys, F.col("lead").alias("id"))
+        large = cut(own.join(leads.select(*keys).distinct(), keys, "left_semi").join(done, [*keys, "id"], "left_anti").select(*keys, "id", "fp"), "members")
     return labels

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sedimenta.llm import bpe, hnsw, language, lines, mixing, sharding, simhash, topk, toxicity, warc
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_sharding": sharding.op2_sharding,
         "op3_simhash_dedup": simhash.op3_simhash_dedup,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, link, ship, text_or_empty
+from sedimenta.llm.common import cut, link, ship, text_or_empty, within
 
 BITS = 64
 
@@ -146,13 +146,9 @@ def _signed(bits: list[int]) -> int:
 
 
 def filed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """(probe int, masked long, id long): each distinct fingerprint under each mask."""
+    """(probe int, masked long, id long, fp long): each distinct fingerprint, which is its own id, under each mask."""
     table = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    return prints.select(F.col("fp").alias("id"), F.posexplode(table).alias("probe", "mask")).select("probe", F.col("mask").bitwiseAND(F.col("id")).alias("masked"), "id")
-
-
-def differing(a, b):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return prints.select("fp", F.posexplode(table).alias("probe", "mask")).select("probe", F.col("mask").bitwiseAND(F.col("fp")).alias("masked"), F.col("fp").alias("id"), "fp")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
@@ -167,13 +163,40 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     n = nodes.count()
     masks = plan(bit_counts(nodes), n, tau)
-    labels = link(filed(nodes, masks), lambda pairs: pairs.where(differing("a", "b") <= tau))
+    labels = link(filed(nodes, masks), lambda pairs: pairs.where(within("a", "b", tau)), tau)
     rooted = cut(nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = cut(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _shared(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            p, q = set(shingle_hashes(x, width).tolist()), set(shingle_hashes(y, width).tolist())
+            out.append(len(p & q) / len(p | q) if p or q else 1.0)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "similarity"])
+
+
+def near_copies(docs: DataFrame, width: int, tau: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) of each row, where a group's documents also share shingles with its first one.
+
+    Groups come from simhash_groups; a document whose set of shingles has less than similarity in common with the
+    first document's (Jaccard) stands alone. Null ids stand alone.
+    """
+    groups = cut(simhash_groups(docs, width, tau).select("doc_id", "component_id"), "groups")
+    others = groups.where("doc_id <> component_id").distinct()
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    heads = cut(texts.join(others.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("component_id"), F.col("text").alias("head")), "heads")
+    mine = cut(texts.join(others, "doc_id"), "mine")
+    both = mine.join(heads, "component_id").select(F.struct("doc_id", "component_id").alias("ids"), "text", "head")
+    kind = both.schema["ids"].dataType.simpleString()
+    close = both.mapInArrow(partial(_shared, width=width), f"doc_id {kind}, similarity double").where(F.col("similarity") >= similarity)
+    close = cut(close.select("doc_id.*").distinct(), "close")
+    return groups.select("doc_id").join(close, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
