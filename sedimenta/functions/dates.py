@@ -19,12 +19,11 @@ DIALECTS = {
 
 def _day(text: Column, pattern: str, y: int, m: int, d: int, exact_months: bool) -> Column:
     year, month, day = (F.regexp_extract(text, pattern, g) for g in (y, m, d))
-    name = month if exact_months else F.lower(month)
-    names = [x for k in MONTHS for x in ((k.title(), k[:3].title()) if exact_months else (k, k[:3]))]
-    numbers = {x: MONTHS.index(next(k for k in MONTHS if k.startswith(x.lower()))) + 1 for x in names}
-    known = F.create_map(*[F.lit(v) for kv in numbers.items() for v in kv])
-    month = F.coalesce(F.try_element_at(known, name), month.try_cast("int"))
-    return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
+    if _SHORT[:3] in pattern:
+        names = "".join(m[:3].title() for m in MONTHS)
+        at = F.instr(F.lit(names if exact_months else names.lower()), F.substring(month if exact_months else F.lower(month), 1, 3))
+        month = F.when(at > 0, (at + 2).cast("int") / 3).cast("int").cast("string")
+    return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
 
 
 def find_date(text: Column, dialect: str = "five", otherwise: Column | None = None) -> Column:

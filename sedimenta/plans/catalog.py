@@ -34,16 +34,18 @@ def _turns(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet")
 
 
-T = F.col("text")
+def _T():
+    """The column text; made when asked for, as columns need a session."""
+    return F.col("text")
 
 
 def _minimum(s, d):
-    rows = _docs(s, d).where(text.keyword_any(T, VOCABULARY)).select(rules.first_match(T, CLASSES, "other").alias("class"), F.length("text").alias("n"))
+    rows = _docs(s, d).where(text.keyword_any(_T(), VOCABULARY)).select(rules.first_match(_T(), CLASSES, "other").alias("class"), F.length("text").alias("n"))
     return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_length"))
 
 
 def _truncated(cut, m=300):
-    return lambda s, d: _docs(s, d).select("doc_id", F.md5(cut(T, m)).alias("cut_md5"), (F.length("text") > m).alias("is_truncated"))
+    return lambda s, d: _docs(s, d).select("doc_id", F.md5(getattr(text, cut)(_T(), m)).alias("cut_md5"), (F.length("text") > m).alias("is_truncated"))
 
 
 def _links(s, d):
@@ -61,12 +63,12 @@ _PLAIN = f"trim(regexp_replace(regexp_replace({_CLEAN}, '<[^>]*>', ' ', 'g'), '\
 def _quality(s, d):
     docs = _docs(s, d).join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left")
     n = F.length("text")
-    score = quality.quality_score(quality.steps(n, [(1000, 1.0), (200, 0.7), (20, 0.3)], 0.0), F.coalesce(F.col("quality"), F.lit(0)) * 1.0, F.lit(0.5), F.when(text.keyword_any(T, GAZETTEER), 1.0).otherwise(0.0), F.lit(1.0))
+    score = quality.quality_score(quality.steps(n, [(1000, 1.0), (200, 0.7), (20, 0.3)], 0.0), F.coalesce(F.col("quality"), F.lit(0)) * 1.0, F.lit(0.5), F.when(text.keyword_any(_T(), GAZETTEER), 1.0).otherwise(0.0), F.lit(1.0))
     return docs.select("doc_id", F.round(score, 6).alias("quality_score"))
 
 
 def _classified(name):
-    return lambda s, d: coll.counts(_docs(s, d), rules.classify(T, name), "label")
+    return lambda s, d: coll.counts(_docs(s, d), rules.classify(_T(), name), "label")
 
 
 def _nested(s, d):
@@ -84,12 +86,9 @@ def _events_deduped(s, d):
     return rows.select("user_id", "value", "place")
 
 
-DATED = F.date_format("ts", "d MMM yyyy")
-
-
 def _dates(s, d):
-    line = F.concat(F.lit("Posted on "), DATED, F.lit(" by x"))
-    return _events(s, d).select("event_id", dates.find_date(line).alias("day"), dates.find_date(F.date_format("ts", "dd/MM/yyyy"), "strict").alias("slashed"))
+    line = F.concat(F.lit("Posted on "), F.date_format("ts", "d MMM yyyy"), F.lit(" by x"))
+    return _events(s, d).select("event_id", dates.find_date(line).cast("string").alias("day"), dates.find_date(F.date_format("ts", "dd/MM/yyyy"), "strict").cast("string").alias("slashed"))
 
 
 _RATIO = "CASE WHEN length(text) >= 1000 THEN 1.0 WHEN length(text) >= 200 THEN 0.7 WHEN length(text) >= 20 THEN 0.3 ELSE 0.0 END"
@@ -98,27 +97,27 @@ _RATIO = "CASE WHEN length(text) >= 1000 THEN 1.0 WHEN length(text) >= 200 THEN
 def _table():
     q: dict[str, tuple] = {}
     q["minimum_slice"] = (_minimum, f"SELECT {rules.case_sql('text', CLASSES, 'other')} AS class, count(*) AS n_docs, avg(length(text)) AS avg_length FROM documents WHERE {rules.any_sql('text', VOCABULARY)} GROUP BY 1")
-    q["keyword_filter"] = (lambda s, d: _docs(s, d).where(text.keyword_any(T, VOCABULARY)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {rules.any_sql('text', VOCABULARY)}")
-    q["keyword_tiers"] = (lambda s, d: _docs(s, d).select("doc_id", text.tier(T, TIERS).alias("tier")), f"SELECT doc_id, {rules.case_sql('text', TIERS, 'none')} AS tier FROM documents")
-    q["ordered_tags"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.tags(T, VOCABULARY, 3), "|").alias("tags")), f"SELECT doc_id, array_to_string({_TAGS}[1:3], '|') AS tags FROM documents")
-    q["tag_set"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.tag_set(T, VOCABULARY), "|").alias("tags")), f"SELECT doc_id, array_to_string(list_sort({_TAGS}), '|') AS tags FROM documents")
-    q["first_place"] = (lambda s, d: _docs(s, d).select("doc_id", text.first_place(T, GAZETTEER).alias("place")), f"SELECT doc_id, CASE {' '.join(f'''WHEN contains(lower(text), '{g}') THEN '{g.title()}' ''' for g in GAZETTEER)} END AS place FROM documents")
-    q["label_set"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.labels(T, LABELS), "|").alias("labels")), "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {rules.any_sql('text', t)} THEN '{k}' END" for k, t in LABELS.items()) + ") AS labels FROM documents")
-    q["tag_counts"] = (lambda s, d: coll.array_counts(_docs(s, d), text.tags(T, VOCABULARY, None), "tag"), f"SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM documents) GROUP BY tag")
+    q["keyword_filter"] = (lambda s, d: _docs(s, d).where(text.keyword_any(_T(), VOCABULARY)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {rules.any_sql('text', VOCABULARY)}")
+    q["keyword_tiers"] = (lambda s, d: _docs(s, d).select("doc_id", text.tier(_T(), TIERS).alias("tier")), f"SELECT doc_id, {rules.case_sql('text', TIERS, 'none')} AS tier FROM documents")
+    q["ordered_tags"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.tags(_T(), VOCABULARY, 3), "|").alias("tags")), f"SELECT doc_id, array_to_string({_TAGS}[1:3], '|') AS tags FROM documents")
+    q["tag_set"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.tag_set(_T(), VOCABULARY), "|").alias("tags")), f"SELECT doc_id, array_to_string(list_sort({_TAGS}), '|') AS tags FROM documents")
+    q["first_place"] = (lambda s, d: _docs(s, d).select("doc_id", text.first_place(_T(), GAZETTEER).alias("place")), f"SELECT doc_id, CASE {' '.join(f'''WHEN contains(lower(text), '{g}') THEN '{g.title()}' ''' for g in GAZETTEER)} END AS place FROM documents")
+    q["label_set"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.labels(_T(), LABELS), "|").alias("labels")), "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {rules.any_sql('text', t)} THEN '{k}' END" for k, t in LABELS.items()) + ") AS labels FROM documents")
+    q["tag_counts"] = (lambda s, d: coll.array_counts(_docs(s, d), text.tags(_T(), VOCABULARY, None), "tag"), f"SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM documents) GROUP BY tag")
     for name, (arms, default) in rules.RULES.items():
         q[f"classify_{name}"] = (_classified(name), f"SELECT coalesce({rules.case_sql('text', arms, default)}, 'unknown') AS label, count(*) AS n FROM documents GROUP BY 1")
-    q["flags"] = (lambda s, d: _docs(s, d).agg(*[F.count_if(text.keyword_any(T, t)).alias(k) for k, t in rules.FLAGS.items()]), "SELECT " + ", ".join(f"count_if({rules.any_sql('text', t)})::BIGINT AS {k}" for k, t in rules.FLAGS.items()) + " FROM documents")
+    q["flags"] = (lambda s, d: _docs(s, d).agg(*[F.count_if(text.keyword_any(_T(), t)).alias(k) for k, t in rules.FLAGS.items()]), "SELECT " + ", ".join(f"count_if({rules.any_sql('text', t)})::BIGINT AS {k}" for k, t in rules.FLAGS.items()) + " FROM documents")
     q["length_stats"] = (
-        lambda s, d: _docs(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg_length"), F.sum(F.length("text")).alias("total_length"), F.sum(text.word_count(T)).alias("words"), F.count_if(F.length("text") > 3000).alias("long_docs")),
+        lambda s, d: _docs(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg_length"), F.sum(F.length("text")).alias("total_length"), F.sum(text.word_count(_T())).alias("words"), F.count_if(F.length("text") > 3000).alias("long_docs")),
         f"SELECT lang, count(*) AS n, avg(length(text)) AS avg_length, sum(length(text))::BIGINT AS total_length, sum({_WORDS})::BIGINT AS words, count_if(length(text) > 3000)::BIGINT AS long_docs FROM documents GROUP BY lang",
     )
     q["source_totals"] = (lambda s, d: coll.with_total(_docs(s, d), "source"), "SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
-    q["truncate_sentences"] = (_truncated(text.cut_sentences), r"""SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN regexp_extract(substr(text, 1, 300), '(?s)^.*\. ') <> ''
+    q["truncate_sentences"] = (_truncated("cut_sentences"), r"""SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN regexp_extract(substr(text, 1, 300), '(?s)^.*\. ') <> ''
       THEN regexp_replace(regexp_extract(substr(text, 1, 300), '(?s)^.*\. '), '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 297) || '...', '^\s+|\s+$', '', 'g') END) AS cut_md5 FROM documents""")
     stop = r"length(regexp_extract(substr(text, 201, 100), '(?s)^[^.!?]*[.!?]'))"
-    q["truncate_late_stop"] = (_truncated(text.cut_late_stop), rf"SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN {stop} > 0 THEN regexp_replace(substr(text, 1, 200 + {stop}), '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g') END) AS cut_md5 FROM documents")
+    q["truncate_late_stop"] = (_truncated("cut_late_stop"), rf"SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN {stop} > 0 THEN regexp_replace(substr(text, 1, 200 + {stop}), '^\s+|\s+$', '', 'g') ELSE regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g') END) AS cut_md5 FROM documents")
     p, sp = r"(length(regexp_extract(substr(text, 1, 300), '(?s)^.*\. ')) - 2)", "(length(regexp_extract(substr(text, 1, 300), '(?s)^.* ')) - 1)"
-    q["truncate_late_sentence"] = (_truncated(text.cut_late_sentence), f"SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN {p} > 240 THEN substr(text, 1, {p} + 1) WHEN {sp} > 0 THEN substr(text, 1, {sp}) ELSE substr(text, 1, 300) END) AS cut_md5 FROM documents")
+    q["truncate_late_sentence"] = (_truncated("cut_late_sentence"), f"SELECT doc_id, length(text) > 300 AS is_truncated, md5(CASE WHEN length(text) <= 300 THEN text WHEN {p} > 240 THEN substr(text, 1, {p} + 1) WHEN {sp} > 0 THEN substr(text, 1, {sp}) ELSE substr(text, 1, 300) END) AS cut_md5 FROM documents")
     q["exact_dedup"] = (lambda s, d: coll.first_value(_docs(s, d).select("doc_id", F.md5("text").alias("text_md5")), "text_md5", "doc_id"), "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY 2")
     q["title_cascade"] = (lambda s, d: _pages(s, d).select("page_id", html.first_element(F.col("html"), ("h1", "title", "h2")).alias("title")), "SELECT page_id, coalesce(" + ", ".join(f"nullif(regexp_extract(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1), '')" for t in ("h1", "title", "h2")) + ") AS title FROM pages")
     q["page_text"] = (lambda s, d: _pages(s, d).select("page_id", F.md5(html.text(html.drop(F.col("html")))).alias("text_md5")), f"SELECT page_id, md5({_PLAIN}) AS text_md5 FROM pages")
@@ -128,7 +127,7 @@ def _table():
     q["filter_then_limit"] = (lambda s, d: coll.filter_then_limit(_links(s, d), ["page_id"], "seq", 2, F.contains("href", F.lit("th"))).select("page_id", "href"), f"SELECT page_id, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS rn FROM ({_ANCHORS}) WHERE contains(href, 'th')) WHERE rn <= 2")
     q["stable_ids"] = (lambda s, d: _pages(s, d).select("page_id", text.stable_id("web", F.col("url")).alias("id")), "SELECT page_id, 'web_' || substr(md5(url), 1, 8) AS id FROM pages")
     q["date_range"] = (lambda s, d: _events(s, d).where(dates.in_range(F.col("ts").cast("date"), "2024-01-05", "2024-01-09")).select("event_id"), "SELECT event_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
-    q["find_dates"] = (_dates, "SELECT event_id, ts::DATE AS day, ts::DATE AS slashed FROM events")
+    q["find_dates"] = (_dates, "SELECT event_id, ts::DATE::VARCHAR AS day, ts::DATE::VARCHAR AS slashed FROM events")
     q["json_fields"] = (lambda s, d: _events(s, d).groupBy(F.coalesce(F.get_json_object("props", "$.k").cast("string"), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(json_extract_string(props, '$.k'), 'unknown') AS k, count(*) AS n FROM events GROUP BY 1")
     q["monthly_trend"] = (lambda s, d: _events(s, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts")), "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, min(ts)::VARCHAR AS first_ts FROM events GROUP BY 1, 2")
     q["keyed_dedup"] = (_events_deduped, "SELECT user_id, arg_max(value, event_id) AS value, min(event_id) AS place FROM events GROUP BY user_id")
