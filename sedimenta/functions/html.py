@@ -23,7 +23,7 @@ def first_element(html: Column, tags: tuple[str, ...]) -> Column:
 
 def long_enough(html: Column, tags: tuple[str, ...], least: int = 100) -> Column:
     """The text of all elements of the first tag that gives more than least characters, else the whole text."""
-    each = [F.array_join(F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), F.lit(1)), text), "") for t in tags]
+    each = [F.array_join(F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), F.lit(1)), lambda x: text(x)), "") for t in tags]
     return F.coalesce(*[F.when(F.length(x) > least, x) for x in each], text(html))
 
 
@@ -47,7 +47,7 @@ def text(html: Column, mode: str = "space") -> Column:
 
 def blocks(html: Column, tags: str = "p|li|td|th", least: int = 20) -> Column:
     """The texts of blocks longer than least, a blank line between."""
-    each = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})>"), F.lit(1)), text)
+    each = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})>"), F.lit(1)), lambda x: text(x))
     return F.array_join(F.filter(each, lambda x: F.length(x) > least), "\n\n")
 
 

@@ -159,7 +159,7 @@ def gls_period(text: Column) -> Column:
 
 def largest_amount(text: Column) -> Column:
     """The largest dollar amount."""
-    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\$(\d{1,3}(?:,\d{3})*)"), F.lit(1)), number))
+    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\$(\d{1,3}(?:,\d{3})*)"), F.lit(1)), lambda x: number(x)))
 
 
 def stable_id(prefix: str, url: Column, n: int = 8, day: Column | None = None) -> Column:

@@ -103,3 +103,9 @@ def test_catalog_equals_sql(spark):
         mine, other = catalog.queries()[name](spark, DATA).toPandas(), con.sql(sql[name]).df()
         rows = [sorted(map(repr, x[sorted(x.columns)].astype(str).values.tolist())) for x in (mine, other)]
         assert rows[0] == rows[1], name
+
+
+def test_html_blocks(spark):
+    page = "<p>This block has more than twenty characters</p><p>short</p>"
+    assert one(spark, page, html.blocks) == "This block has more than twenty characters"
+    assert one(spark, page, lambda c: html.long_enough(c, ("p",), 10)).startswith("This block")
