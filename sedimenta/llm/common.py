@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Buckets of up to this many members are compared pair by pair; larger ones with some leaders at a time.
 PAIRWISE_MEMBERS = 24
 LEADERS = 64
+#: Graphs of up to this many edges (16 bytes each) are contracted in one task, where no step needs an exchange.
+ONE_TASK_EDGES = 200_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -91,24 +93,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node hooks to the least node among itself and its neighbours, edges are relabelled and
     self-loops go, until no edge is left; the nodes are renumbered between rounds, so the number of rounds is
-    logarithmic whatever the ids. Joins are between written tables, where Spark can split a hub's rows.
-    Null ends and loops are ignored. No edges: no rows.
+    logarithmic whatever the ids. Joins are between written tables, where Spark can split a hub's rows; once the edges
+    left are ONE_TASK_EDGES or fewer they are read as one partition. Null ends and loops are ignored. No edges: no rows.
     """
     ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, labels = cut(ends, "edges"), None
-    while not left.isEmpty() or labels is None:
-        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n = left.count()
+    few_labels = n <= ONE_TASK_EDGES
+    while n or labels is None:
+        left, few = (left.coalesce(1), True) if n <= ONE_TASK_EDGES else (left, False)
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")), "hooks")
+        hook = hook.coalesce(1) if few else hook
         if labels is None:
             labels = hook.select(F.col("node").alias("id"), F.col("parent").alias("root"))
         else:
+            labels = labels.coalesce(1) if few_labels else labels
             labels = cut(labels.join(hook, labels["root"] == hook["node"], "left").select("id", F.coalesce("parent", "root").alias("root")), "labels")
         pa, pb = (hook.select(F.col("node").alias(x), F.col("parent").alias(f"p{x}")) for x in "ab")
         moved = left.join(pa, "a").join(pb, "b").where("pa <> pb").select(_stirred(F.col("pa")).alias("a"), _stirred(F.col("pb")).alias("b"))
         left = cut(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if left.isEmpty():
-            return labels
-        labels = labels.select("id", _stirred(F.col("root")).alias("root"))
+        n = left.count()
+        if n:
+            labels = labels.select("id", _stirred(F.col("root")).alias("root"))
     return labels
 
 

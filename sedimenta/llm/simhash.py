@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, link, ship, text_or_empty, within
+from sedimenta.llm.common import PAIRWISE_MEMBERS, components, cut, link, ship, text_or_empty, within
 
 BITS = 64
 
@@ -151,6 +151,49 @@ def filed(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
     return prints.select("fp", F.posexplode(table).alias("probe", "mask")).select("probe", F.col("mask").bitwiseAND(F.col("fp")).alias("masked"), F.col("fp").alias("id"), "fp")
 
 
+def _sphere(fp: str, radius: int):
+    """The longs that differ from fp in exactly radius (1 or 2) bits."""
+    flipped = lambda c, i: c.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    one = lambda c, low: F.transform(F.sequence(low, F.lit(BITS - 1)), lambda i: flipped(c, i))
+    if radius == 1:
+        return one(F.col(fp), F.lit(0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS - 2)), lambda i: one(flipped(F.col(fp), i), i + 1)))
+
+
+def ball_links(prints: DataFrame, tau: int) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp) that have the components of all pairs within tau (2 or 3) bits.
+
+    Fingerprints within 2 bits are both within one bit of some value, and all around such a value are within 2 bits
+    of each other: each is linked with the least of them. At most 65 are around a value, however dense a group is.
+    Fingerprints 3 bits apart differ in parity, and some value is one bit from the even one, two from the odd one.
+    """
+    around = prints.select("fp", F.explode(F.concat(F.array("fp"), _sphere("fp", 1))).alias("z"))
+    stars = around.groupBy("z").agg(F.min("fp").alias("lo"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    links = stars.select(F.col("lo").alias("a"), F.explode("all").alias("b"))
+    if tau == 3:
+        odd = F.bit_count("fp") % 2 == 1
+        even_lo = prints.where(~odd).select("fp", F.explode(_sphere("fp", 1)).alias("z")).groupBy("z").agg(F.min("fp").alias("a"))
+        far = prints.where(odd).select(F.col("fp").alias("b"), F.explode(_sphere("fp", 2)).alias("z"))
+        links = links.unionByName(far.join(even_lo, "z").select("a", "b"))
+    return links.where("a <> b")
+
+
+def near_links(members: DataFrame, tau: int) -> DataFrame:
+    """(id, root) of the graph of fingerprints within tau bits, from filed() rows.
+
+    Buckets of up to PAIRWISE_MEMBERS are probed pair by pair; the fingerprints of larger ones by ball_links(), whose
+    work is linear in their number. Every link is verified on all 64 bits.
+    """
+    keys = ["probe", "masked"]
+    sizes = cut(members.groupBy(*keys).agg(F.count("fp").alias("n")).where("n > 1"), "buckets")
+    rows = cut(members.join(sizes, keys).select(*keys, "fp", "n"), "members")
+    few = rows.where(F.col("n") <= PAIRWISE_MEMBERS).groupBy(*keys).agg(F.collect_list("fp").alias("own"))
+    a = few.select(F.posexplode("own").alias("at", "a"), "own")
+    pairs = a.select("a", F.explode(F.slice("own", F.col("at") + 2, PAIRWISE_MEMBERS)).alias("b"))
+    hot = cut(rows.where(F.col("n") > PAIRWISE_MEMBERS).select("fp").distinct(), "hot")
+    return components(pairs.unionByName(ball_links(hot, tau)).where(within("a", "b", tau)))
+
+
 def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     """Link documents whose fingerprints differ in tau bits or fewer.
 
@@ -163,7 +206,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     n = nodes.count()
     masks = plan(bit_counts(nodes), n, tau)
-    labels = link(filed(nodes, masks), lambda pairs: pairs.where(within("a", "b", tau)), tau)
+    labels = near_links(filed(nodes, masks), tau) if tau in (2, 3) else link(filed(nodes, masks), lambda pairs: pairs.where(within("a", "b", tau)), tau)
     rooted = cut(nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = cut(rooted.join(least, "root").select("fp", "component_id"), "named")

@@ -100,6 +100,24 @@ def test_simhash(spark, odd):
     assert simhash.simhash_groups(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tau", [2, 3])
+def test_dense_fingerprints_link(spark, tau):
+    rnd = random.Random(7)
+    prints = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for c in (rnd.getrandbits(62), -rnd.getrandbits(62)) for _ in range(150)}
+    prints = sorted({(f + 2**63) % 2**64 - 2**63 for f in prints})
+    df = spark.createDataFrame([(f,) for f in prints], "fp long")
+    filed = simhash.filed(df, [list(range(8))])
+    got = {r.id: r.root for r in simhash.near_links(filed, tau).collect()}
+    far = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    want = brute_components(prints, lambda x, y: (x ^ y) & 0xFF == 0 and far(x, y) <= tau)
+    whole = brute_components(prints, lambda x, y: far(x, y) <= tau)
+    groups = lambda roots: {frozenset(f for f, r in zip(prints, roots, strict=True) if r == x) for x in set(roots)}
+    mine = groups([got.get(f, f) for f in prints])
+    assert all(any(g <= m for m in mine) for g in groups(want)) and all(any(m <= g for g in groups(whole)) for m in mine)
+    balls = {r.id: r.root for r in common.components(simhash.ball_links(df, tau)).collect()}
+    assert groups([balls.get(f, f) for f in prints]) == groups(whole)
+
+
 def test_plan_finds_every_near_pair():
     rnd = np.random.RandomState(4)
     fps = rnd.randint(0, 2**63, 200).astype(np.uint64)
