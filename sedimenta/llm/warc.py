@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, scratch_path, ship
+from sedimenta.llm.common import cut, release, scratch_path, ship
 
 MAGIC = "WARC/1.1\r\n"
 #: Records of an archive at most.
@@ -35,12 +35,13 @@ def base32_sha1(payload):
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(hex_, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]), DIGITS, RFC4648)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Write a record for each row of pages (page_id, url, html) into archives under path.
 
     Of records with equal payloads of at least least_bytes, that with the largest page_id is a response (so are rows
     that repeat its id) and the others revisit it; smaller ones are all responses. A null html is an empty payload, a null
-    url is left out, a null page_id is written as none and is a response only among its own kind.
+    url is left out, a null page_id is written as none and is a response only among its own kind. Archives are compressed
+    as whole files, which readers then take in one piece, or plain ("none").
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
@@ -56,7 +57,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         F.when(revisit, line("WARC-Refers-To", name("keeper"))).otherwise(F.lit("")), line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"),
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", compression).text(path)
+    del rows
+    release(pages.sparkSession)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -138,7 +141,7 @@ def reachable(links: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under path: file, off, type, page, refers, declared, payload_bytes, payload_digest.
 
-    Archives are plain (not compressed) WARC 1.1. A chain that breaks, at a damaged record, ends there: what follows
+    Archives are WARC 1.1, plain (read in splits) or compressed as a whole; offsets are those of the plain bytes. A chain that breaks, at a damaged record, ends there: what follows
     in that file is left out. An empty folder or file has no records.
     """
     ship(spark)
