@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Buckets of up to this many members are compared pair by pair; larger ones with some leaders at a time.
 PAIRWISE_MEMBERS = 24
 LEADERS = 64
+#: Buckets with up to this many members left end with a comparison of all that are still apart.
+FINISH_MEMBERS = 256
 #: Graphs of up to this many edges (16 bytes each) are contracted in one task, where no step needs an exchange.
 ONE_TASK_EDGES = 200_000
 
@@ -130,10 +132,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
     members: (key.., id long, fp long), where fp is the id's fingerprint; pairs whose fingerprints differ in more than
     tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test.
     The result (id, root) has a row for each linked id. It equals the components of all verified pairs of all
-    buckets, but never lists the pairs of a large bucket: its members are compared with its first, then, round by
-    round, with the first member of up to LEADERS of its components unless they are in it already; these leaders have
-    then met all others and leave. A bucket is done when one component is left. So a bucket of n near copies costs
-    n tests, and each round at most LEADERS tests for each row.
+    buckets, but never lists the pairs of a large bucket: its members are compared with its first, then with the first
+    member of each of its components (of up to LEADERS, if more than FINISH_MEMBERS are left) unless they are in it
+    already; these leaders have then met all others and leave. What is left of a bucket of up to FINISH_MEMBERS is
+    compared pair by pair across components after that; a larger one takes more rounds. A bucket is done when one
+    component is left. So a bucket of n near copies costs n tests.
     """
     keys = [c for c in members.columns if c not in ("id", "fp")]
     sizes = cut(members.groupBy(*keys).agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "buckets")
@@ -149,19 +152,25 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
         large = large.where("id <> lo").select(*keys, "id", "fp")
     found = cut(verify(pairs.distinct()), "links")
     labels = components(found)
+    last = False
     while large is not None and not large.isEmpty():
         own = cut(large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "large")
-        leads = own.groupBy(*keys, "root").agg(F.min(F.struct("id", "fp")).alias("lead")).select(*keys, "root", F.col("lead.id").alias("lead"), F.col("lead.fp").alias("lead_fp"))
-        mixed = own.groupBy(*keys).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*keys)
-        turn = F.row_number().over(W.partitionBy(*keys).orderBy("lead"))
-        leads = cut(leads.join(mixed, keys).withColumn("turn", turn).where(F.col("turn") <= LEADERS).select(*keys, F.col("root").alias("lead_root"), "lead", "lead_fp"), "leads")
-        if leads.isEmpty():
+        mixed = own.groupBy(*keys).agg(F.count("id").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*keys, "m")
+        apart = cut(own.join(mixed, keys), "apart")
+        if apart.isEmpty():
             break
-        cross = own.join(leads, keys).where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+        few = F.col("m") <= FINISH_MEMBERS
+        heads = apart.groupBy(*keys, "root", "m").agg(F.min(F.struct("id", "fp")).alias("x")).select(*keys, "root", "m", "x.*")
+        turn = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
+        many = heads.where(~few).withColumn("turn", turn).where(F.col("turn") <= LEADERS)
+        lead = [*keys, F.col("root").alias("lead_root"), F.col("id").alias("lead"), F.col("fp").alias("lead_fp")]
+        leads = cut((apart if last else heads).where(few).select(*lead).unionByName(many.select(*lead)), "leads")
+        cross = apart.join(leads, keys).where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
         more = cut(verify(cross.distinct()), "links")
         if not more.isEmpty():
             found = cut(found.unionByName(more), "links")
             labels = components(found)
         done = leads.select(*keys, F.col("lead").alias("id"))
-        large = cut(own.join(leads.select(*keys).distinct(), keys, "left_semi").join(done, [*keys, "id"], "left_anti").select(*keys, "id", "fp"), "members")
+        large = cut(apart.select(*keys, "id", "fp").join(done, [*keys, "id"], "left_anti"), "members")
+        last = True
     return labels

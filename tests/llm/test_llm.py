@@ -140,6 +140,42 @@ def test_lines(spark, odd):
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_edit_bounds_equal_levenshtein(spark):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(400):
+        a = [rnd.choice(["ab", "b", "cab", "aa", "é"]) for _ in range(rnd.randint(1, 12))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randint(0, 1)] = [rnd.choice(["ab", "c", "aaa"])] * rnd.randint(0, 2)
+        rows.append((" ".join(a), " ".join(b), rnd.randint(0, 12)))
+    df = spark.createDataFrame(rows, "ta string, tb string, most int")
+    assert df.where(f"({lines.EDITS_WITHIN}) <> (levenshtein(ta, tb) <= most)").count() == 0
+
+
+def test_line_fingerprints(spark):
+    texts = ["a", "a b", "c d e " * 70, " ".join(f"w{i % 999}" for i in range(70_000))]
+    df = spark.createDataFrame([(i, t.strip(), len(t.split())) for i, t in enumerate(texts)], "id long, norm string, n_words int")
+    hashes = df.select("id", F.explode(F.split("norm", " ")).alias("w")).select("id", F.xxhash64("w").alias("h")).toPandas()
+    for r in lines.line_fingerprints(df).collect():
+        own = hashes[hashes.id == r.id].h.to_numpy()
+        want = sum(1 << i for i in range(64) if 2 * int(((own >> i) & 1).sum()) > len(own))
+        assert r.fp & (2**64 - 1) == want
+
+
+def test_crowded_buckets_link(spark):
+    rnd = random.Random(9)
+    items = [(i, rnd.randrange(2), rnd.randrange(1200)) for i in range(700)]
+    df = spark.createDataFrame([(k, i, v) for i, k, v in items], "k int, id long, fp long")
+    place = {i: v for i, _, v in items}
+    near = F.udf(lambda a, b: abs(place[a] - place[b]) <= 1, "boolean")
+    got = {r.id: r.root for r in common.link(df, lambda pairs: pairs.where(near("a", "b")), 64).collect()}
+    want = brute_components(items, lambda x, y: x[1] == y[1] and abs(x[2] - y[2]) <= 1)
+    groups = lambda roots: {frozenset(n for n, r in zip(range(700), roots, strict=True) if r == x) for x in set(roots)}
+    assert groups([got.get(i, i) for i in range(700)]) == groups(want)
+
+
 def test_top_k():
     rnd = np.random.RandomState(5)
     x = rnd.randint(-20, 20, (900, 8)).astype(float)
@@ -203,11 +239,12 @@ def test_language(spark, odd):
     assert {x.lang_pred for x in language.identify(odd, language.train(docs.limit(0))).collect()} == {"und"}
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc(spark, compression):
     fake = "x WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(i, "u", fake * (i % 3 + 1) + str(i % 5)) for i in range(12)] + [(100, None, None), (101, "u", ""), (102, "u\r\nx", "WARC/1.1\r\n")]
     path = common.scratch_path(spark, "test")
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, compression=compression)
     got = {r.page_id: r for r in warc.resolve(warc.read_archives(spark, path)).collect()}
     assert sorted(got) == sorted(i for i, _, _ in rows)
     for i, _, h in rows:
