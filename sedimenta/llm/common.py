@@ -95,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node hooks to the least node among itself and its neighbours, edges are relabelled and
     self-loops go, until no edge is left; the nodes are renumbered between rounds, so the number of rounds is
-    logarithmic whatever the ids. Joins are between written tables, where Spark can split a hub's rows; once the edges
+    logarithmic whatever the ids; small graphs follow four hooks at a time. Joins are between written tables, where Spark can split a hub's rows; once the edges
     left are ONE_TASK_EDGES or fewer they are read as one partition. Null ends and loops are ignored. No edges: no rows.
     """
     ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -105,7 +105,13 @@ def components(edges: DataFrame) -> DataFrame:
     while n or labels is None:
         left, few = (left.coalesce(1), True) if n <= ONE_TASK_EDGES else (left, False)
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")), "hooks")
+        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent"))
+        if few:
+            hook = hook.coalesce(1)
+            for _ in range(2):
+                far = hook.select(F.col("node").alias("mid"), F.col("parent").alias("far"))
+                hook = hook.join(far, hook["parent"] == far["mid"], "left").select("node", F.coalesce("far", "parent").alias("parent"))
+        hook = cut(hook, "hooks")
         hook = hook.coalesce(1) if few else hook
         if labels is None:
             labels = hook.select(F.col("node").alias("id"), F.col("parent").alias("root"))
@@ -121,6 +127,25 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def by_least(labels: DataFrame) -> DataFrame:
+    """The labels with the least id of each component for its root."""
+    least = labels.groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("least"))
+    return labels.join(least, labels["root"] == least["_root"]).select("id", F.col("least").alias("root"))
+
+
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels (id, root) once the links (a, b) of more are added; only roots that they join are contracted. Roots are the least ids."""
+    for x in "ab":
+        own = labels.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+        more = more.join(own, x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    more = cut(more.select("a", "b", "ra", "rb"), "roots")
+    moved = by_least(components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))).select(F.col("id").alias("old"), F.col("root").alias("new"))
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    fresh = ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("root"))
+    every = labels.unionByName(fresh)
+    return every.join(moved, every["root"] == moved["old"], "left").select("id", F.coalesce("new", "root").alias("root"))
+
+
 def within(a: str, b: str, tau: int):
     """Whether two columns of fingerprints differ in tau bits or fewer."""
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
@@ -135,7 +160,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
     buckets, but never lists the pairs of a large bucket: its members are compared with its first, then with the first
     member of each of its components (of up to LEADERS, if more than FINISH_MEMBERS are left) unless they are in it
     already; these leaders have then met all others and leave. What is left of a bucket of up to FINISH_MEMBERS is
-    compared pair by pair across components after that; a larger one takes more rounds. A bucket is done when one
+    compared pair by pair across components after that; a larger one takes more rounds, each with twice as many leaders. A bucket is done when one
     component is left. So a bucket of n near copies costs n tests.
     """
     keys = [c for c in members.columns if c not in ("id", "fp")]
@@ -150,9 +175,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
         large = rows.where(F.col("n") > PAIRWISE_MEMBERS)
         pairs = pairs.unionByName(near.select("a", "b")).unionByName(large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
         large = large.where("id <> lo").select(*keys, "id", "fp")
-    found = cut(verify(pairs.distinct()), "links")
-    labels = components(found)
-    last = False
+    labels = cut(by_least(components(cut(verify(pairs.distinct()), "links"))), "labels")
+    last, leaders = False, LEADERS
     while large is not None and not large.isEmpty():
         own = cut(large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "large")
         mixed = own.groupBy(*keys).agg(F.count("id").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*keys, "m")
@@ -162,15 +186,14 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
         few = F.col("m") <= FINISH_MEMBERS
         heads = apart.groupBy(*keys, "root", "m").agg(F.min(F.struct("id", "fp")).alias("x")).select(*keys, "root", "m", "x.*")
         turn = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
-        many = heads.where(~few).withColumn("turn", turn).where(F.col("turn") <= LEADERS)
+        many = heads.where(~few).withColumn("turn", turn).where(F.col("turn") <= leaders)
         lead = [*keys, F.col("root").alias("lead_root"), F.col("id").alias("lead"), F.col("fp").alias("lead_fp")]
         leads = cut((apart if last else heads).where(few).select(*lead).unionByName(many.select(*lead)), "leads")
         cross = apart.join(leads, keys).where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
         more = cut(verify(cross.distinct()), "links")
         if not more.isEmpty():
-            found = cut(found.unionByName(more), "links")
-            labels = components(found)
+            labels = cut(joined(labels, more), "labels")
         done = leads.select(*keys, F.col("lead").alias("id"))
         large = cut(apart.select(*keys, "id", "fp").join(done, [*keys, "id"], "left_anti"), "members")
-        last = True
+        last, leaders = True, 2 * leaders
     return labels
