@@ -261,3 +261,35 @@ def test_mixing(spark, odd):
         assert abs(own.taken.sum() - own.target.iloc[0]) <= 1 and own.target.iloc[0] <= 2 * own["size"].sum()
     assert r.position.dropna().between(0, 1.000001).all()
     assert mixing.in_training_order(mixing.mix(odd)).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
+
+
+def typo(rnd, line, n):
+    """The line with n letters replaced."""
+    out = list(line)
+    for at in rnd.sample([i for i, c in enumerate(out) if c != " "], n):
+        out[at] = rnd.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(out)
+
+
+def test_line_recall(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    rows = []
+    for words, typos in ((5, 1), (10, 1), (10, 3), (30, 1), (30, 6), (100, 5), (100, 20)):
+        for _ in range(40):
+            base = " ".join(word() for _ in range(words))
+            rows += [(len(rows), base, words, typos), (len(rows) + 1, typo(rnd, base, typos), words, typos)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words int, typos int")
+    occurring = lines.occurrences(df).localCheckpoint()
+    own = {r.id: r.doc_id for r in occurring.collect()}
+    labels = {own[r.id]: r.root for r in lines.similar_lines(occurring, common.cut(lines.line_fingerprints(lines.grams(occurring)))).collect()}
+    d, e = df.alias("d"), df.alias("e")
+    pairs = d.join(e, F.expr("d.words = e.words and d.typos = e.typos and d.doc_id < e.doc_id and abs(length(d.text) - length(e.text)) <= 0.2 * greatest(length(d.text), length(e.text))"))
+    near = F.expr("levenshtein(d.text, e.text, cast(floor(0.2 * greatest(length(d.text), length(e.text)) + 1e-9) as int)) >= 0")
+    recall = {}
+    for r in pairs.where(near).select("d.words", "d.typos", F.col("d.doc_id").alias("a"), F.col("e.doc_id").alias("b")).collect():
+        recall.setdefault((r.words, r.typos), []).append(r.a in labels and labels[r.a] == labels.get(r.b))
+    share = {k: sum(v) / len(v) for k, v in sorted(recall.items())}
+    print(share)
+    assert all(len(v) >= 35 for v in recall.values())
+    assert min(share[5, 1], share[10, 1]) >= 0.4 and min(share[30, 1], share[100, 5]) >= 0.9
