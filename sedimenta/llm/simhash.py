@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import PAIRWISE_MEMBERS, components, cut, link, ship, text_or_empty, within
 
 BITS = 64
+#: Sketches of a text and the minima in each: at a Jaccard of 0.8, 1 - (1 - 0.8 ** 6) ** 16 = 0.992 of the pairs share one.
+SKETCHES, ROWS = 16, 6
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -222,22 +224,48 @@ def _shared(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "similarity"])
 
 
+def sketch(h: np.ndarray) -> list[int]:
+    """SKETCHES signed longs from shingle hashes, each over ROWS minima; sets with a Jaccard of J share one with J ** ROWS."""
+    from xxhash import xxh64_digest
+
+    rnd = np.random.RandomState(1)
+    times, plus = rnd.randint(0, 1 << 62, (2, SKETCHES * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(SKETCHES * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        least = np.minimum(least, (h[at : at + (1 << 12), None] * times + plus).min(0))
+    return [int.from_bytes(xxh64_digest(own.tobytes()), "big", signed=True) for own in least.reshape(SKETCHES, ROWS)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        prints, own = [fingerprint(t, width) for t in texts], [sketch(shingle_hashes(t, width)) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["id", "fp", "own"])
+
+
 def near_copies(docs: DataFrame, width: int, tau: int, similarity: float) -> DataFrame:
-    """(doc_id, component_id) of each row, where a group's documents also share shingles with its first one.
+    """(doc_id, id, root) of each pair of doc_id and text: id is the text's hash, and equal roots are near copies.
 
-    Groups come from simhash_groups; a document whose set of shingles has less than similarity in common with the
-    first document's (Jaccard) stands alone. Null ids stand alone.
+    Distinct texts that share a sketch are candidates. They are linked if their fingerprints differ in tau bits or
+    fewer and their sets of shingles have similarity (Jaccard) in common; root names a component of these links. A
+    null text counts as empty; texts without words are near copies of each other.
     """
-    groups = cut(simhash_groups(docs, width, tau).select("doc_id", "component_id"), "groups")
-    others = groups.where("doc_id <> component_id").distinct()
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    heads = cut(texts.join(others.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("component_id"), F.col("text").alias("head")), "heads")
-    mine = cut(texts.join(others, "doc_id"), "mine")
-    both = mine.join(heads, "component_id").select(F.struct("doc_id", "component_id").alias("ids"), "text", "head")
-    kind = both.schema["ids"].dataType.simpleString()
-    close = both.mapInArrow(partial(_shared, width=width), f"doc_id {kind}, similarity double").where(F.col("similarity") >= similarity)
-    close = cut(close.select("doc_id.*").distinct(), "close")
-    return groups.select("doc_id").join(close, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ship(docs.sparkSession)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("id"), "text")
+    nodes = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "nodes")
+    prints = cut(nodes.mapInArrow(partial(_sketches, width=width), "id bigint, fp bigint, own array<bigint>"), "sketches")
+    members = prints.select("id", "fp", F.posexplode("own").alias("probe", "masked")).select("probe", "masked", "id", "fp")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        fa, fb = (prints.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
+        near = cut(pairs.join(fa, "a").join(fb, "b").where(within("fa", "fb", tau)).select("a", "b"), "near")
+        ta, tb = (nodes.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        both = near.join(ta, "a").join(tb, "b").select(F.struct("a", "b").alias("ids"), "ta", "tb")
+        close = both.mapInArrow(partial(_shared, width=width), "doc_id struct<a: bigint, b: bigint>, similarity double")
+        return close.where(F.col("similarity") >= similarity).select("doc_id.a", "doc_id.b")
+
+    labels = link(members, verify, tau)
+    return texts.select("doc_id", "id").distinct().join(labels, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
 
 
 def op3_simhash_dedup(spark, sf_dir):

@@ -293,3 +293,23 @@ def test_line_recall(spark):
     print(share)
     assert all(len(v) >= 35 for v in recall.values())
     assert min(share[5, 1], share[10, 1]) >= 0.4 and min(share[30, 1], share[100, 5]) >= 0.9
+
+
+def test_near_copies(spark):
+    """Recall over planted copies against brute-force Jaccard."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(11)
+    texts = []
+    for k in range(60):
+        base = [f"w{rnd.randrange(9999)}" for _ in range(rnd.choice([60, 150, 400]))]
+        other = list(base)
+        for at in rnd.sample(range(len(base)), max(1, len(base) * (k % 3) // 150)):
+            other[at] = f"x{at}"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [set(simhash.shingle_hashes(t, p.SHINGLE).tolist()) for t in texts]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= p.SIMILARITY * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in simhash.near_copies(df, p.SHINGLE, p.NEAR_BITS, p.SIMILARITY).collect()}
+    found = sum(root[i] == root[j] for i, j in want)
+    assert len(want) >= 30 and found >= 0.97 * len(want)
