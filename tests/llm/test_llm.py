@@ -313,3 +313,14 @@ def test_near_copies(spark):
     root = {r.doc_id: r.root for r in simhash.near_copies(df, p.SHINGLE, p.NEAR_BITS, p.SIMILARITY).collect()}
     found = sum(root[i] == root[j] for i, j in want)
     assert len(want) >= 30 and found >= 0.97 * len(want)
+
+
+def test_near_copies_do_not_hang_on_the_least_id(spark):
+    import corpus_pipeline as p
+
+    base = [f"v{i}" for i in range(100)]
+    a, b = " ".join(base), " ".join(base[:-12] + [f"y{i}" for i in range(12)])
+    rows = [(1, a), (2, b), (3, b), (4, b + " z"), (3, "clean words of another text under one id")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {(r.doc_id, r.text) for r in p.dedup_documents(spark, df, "").collect()}
+    assert kept == {(1, a), (2, b), (3, rows[4][1])}
