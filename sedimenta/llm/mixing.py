@@ -53,10 +53,10 @@ def _position(share, slope):
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST_REPEATS, slopes: Sequence[float] = SLOPES) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken, position.
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken, position, positions.
 
-    taken counts words, repeats included; the sum over a source is its target, rounded. position is that of the
-    first copy, null if nothing is taken. Order in a source: md5 of doc_id as text (null: of ""), then size, so
+    taken counts words, repeats included; the sum over a source is its target, rounded. positions has one
+    for each copy, the one taken in part last (empty if nothing is taken); position is the first, null if nothing is taken. Order in a source: md5 of doc_id as text (null: of ""), then size, so
     reruns agree; repeated rows have a turn each. A null source is a source of its own, last. Null or blank texts have size 0
     and are never taken. Sources' running sums are added up over hash ranges, so that no task holds a source.
     """
@@ -80,7 +80,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     first = F.when(F.col("passes") > 0, F.col("size")).otherwise(F.col("extra"))
     share = F.try_divide(F.col("cum") + first / 2, F.col("words"))
     slope = F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.col("sid") % len(slopes) + 1).cast("int"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _position(share, slope)).alias("position"))
+    done = lambda i: i * F.col("source_size") + F.col("cum")
+    whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda i: done(i) + F.col("size") / 2))
+    part = F.when(F.col("extra") > 0, F.array(done(F.col("passes")) + F.col("extra") / 2))
+    none = F.array().cast("array<double>")
+    at = F.when(F.col("taken") > 0, F.concat(F.coalesce(whole, none), F.coalesce(part, none))).otherwise(none)
+    positions = F.transform(at, lambda x: _position(F.try_divide(x, F.col("words")), slope))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _position(share, slope)).alias("position"), positions.alias("positions"))
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:

@@ -324,3 +324,30 @@ def test_near_copies_do_not_hang_on_the_least_id(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {(r.doc_id, r.text) for r in p.dedup_documents(spark, df, "").collect()}
     assert kept == {(1, a), (2, b), (3, rows[4][1])}
+
+
+def test_every_copy_has_its_position(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, "w " * (i % 5 + 1), "en", "s0" if i < 40 else "s1", 9) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for slope in (0.0, 0.6):
+        r = mixing.mix(df, slopes=(slope,)).where("taken > 0").toPandas()
+        for _, own in r.groupby("source"):
+            words = round(own.target.iloc[0])
+            at = []
+            for x in own.itertuples():
+                left = x.taken
+                assert x.positions[0] == x.position
+                for t in x.positions:
+                    at.append((t, min(left, x.size)))
+                    left -= at[-1][1]
+                assert left == 0
+            done = 0
+            for t, n in sorted(at):
+                assert abs((1 - slope) * t + slope * t * t - (done + n / 2) / words) < 1e-9
+                done += n
+            assert done == words and max(at)[0] > 0.95
+    ids = [r.doc_id for r in p.mix_sources(spark, df, "").collect()]
+    both = [i for i in range(40) if ids.count(i) == 2]
+    assert both and not any(x == y for x, y in zip(ids, ids[1:], strict=False))
