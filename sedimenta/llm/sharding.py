@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import text_or_empty
+from sedimenta.llm.common import scratch_path, text_or_empty
 
 #: Bytes of one bucket; a row that carries no text counts as ROW_BYTES.
 BUCKET_BYTES = 32 << 20
@@ -59,13 +59,17 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, carry: Sequence
     return out.select("x.row.*", F.lit("key").alias("law"), "shard", "x.grown_shard", "bucket", (F.col("first") + F.col("at")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> None:
-    """Write whole rows as Parquet, a folder for each shard, a file for each of its buckets, rows in slot order."""
+def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> DataFrame:
+    """Write whole rows as Parquet, a folder for each shard, a file for each of its buckets, rows in slot order; the result reads them."""
     rest = [c for c in docs.columns if c != "doc_id"]
     rows = shard_rows(docs, shards, carry=rest, **options)
     rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def op2_sharding(spark, sf_dir):
+    """Shards are written whole to the shared folder; size and checksum are those of the texts read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard_rows(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    written = write_shards(docs, scratch_path(spark, "shards"))
+    crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
+    return written.select("doc_id", text_size().alias("size"), crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")

@@ -351,3 +351,19 @@ def test_every_copy_has_its_position(spark):
     ids = [r.doc_id for r in p.mix_sources(spark, df, "").collect()]
     both = [i for i in range(40) if ids.count(i) == 2]
     assert both and not any(x == y for x, y in zip(ids, ids[1:], strict=False))
+
+
+def test_shards_hold_whole_records(spark, odd, tmp_path):
+    rows = [(i, f"é text {i} " * (i % 7), "en") for i in range(300)] + [(300, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sharding.write_shards(docs, f"{tmp_path}/shards", 5, bucket_bytes=1000)
+    r = spark.read.parquet(f"{tmp_path}/shards").toPandas()
+    assert {(x.doc_id, x.text, x.lang) for x in r.itertuples()} == set(rows) and len(r) == len(rows)
+    for _, own in r.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own))) and own.bucket.nunique() > 1
+    assert sharding.write_shards(odd.limit(0), f"{tmp_path}/none", 5).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op2_sharding(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.size, x.text_crc32) for x in got} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows}
+    at = common.scratch_root(spark).removeprefix("file://")
+    assert any(f.read_bytes() for f in __import__("pathlib").Path(at).glob("sedimenta-shards-*/shard=*/*.parquet"))
