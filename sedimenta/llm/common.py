@@ -8,7 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -47,11 +48,48 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_root(spark)}/sedimenta-{what}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[dict[str, DataFrame]] = []
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sedimenta_path = path
+    if _OPEN:
+        _OPEN[-1][path] = out
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Free the disk of tables that cut() wrote and that nothing reads any more: each is overwritten by an empty one."""
+    for t in tables:
+        path = getattr(t, "_sedimenta_path", None)
+        if path:
+            t.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+            for own in _OPEN:
+                own.pop(path, None)
+
+
+@contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drop the tables cut inside once the block ends; what is handed to the given function passes to the block around."""
+    own: dict[str, DataFrame] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = df._sedimenta_path
+        own.pop(path, None)
+        if len(_OPEN) > 1:
+            _OPEN[-2][path] = df
+        return df
+
+    _OPEN.append(own)
+    try:
+        yield keep
+        drop(*list(own.values()))
+    finally:
+        _OPEN.pop()
 
 
 def ship(spark: SparkSession) -> None:
@@ -98,6 +136,11 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic whatever the ids; small graphs follow four hooks at a time. Joins are between written tables, where Spark can split a hub's rows; once the edges
     left are ONE_TASK_EDGES or fewer they are read as one partition. Null ends and loops are ignored. No edges: no rows.
     """
+    with tidy() as keep:
+        return keep(_contracted(edges))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, labels = cut(ends, "edges"), None
     n = left.count()
@@ -124,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         n = left.count()
         if n:
             labels = labels.select("id", _stirred(F.col("root")).alias("root"))
-    return labels
+    return cut(labels, "labels")
 
 
 def by_least(labels: DataFrame) -> DataFrame:
@@ -151,11 +194,39 @@ def within(a: str, b: str, tau: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int) -> DataFrame:
+def _narrow(rows: DataFrame) -> DataFrame:
+    """(key, id, fp) of rows (key, id, fp, n) of buckets with n members, under each of several blocks of the fingerprint's bits.
+
+    There are as many blocks as leave each enough bits to set n members apart: two of 32 bits, three of 21 or four of 16.
+    """
+    n = F.col("n")
+    width = F.when(n <= 1 << 18, 16).when(n <= 1 << 23, 21).otherwise(32)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.lit(64) / width).cast("int") - 1), lambda i: F.struct(i.alias("i"), (i * width).alias("at")))
+    part = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("fp"), F.col("b.at")), F.lit(64) - F.col("width"))
+    rows = rows.select("key", "id", "fp", width.alias("width"), F.explode(blocks).alias("b"))
+    return rows.select(F.xxhash64("key", "b.i", part).alias("key"), "id", "fp")
+
+
+def _crowded(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b) of small buckets, and the rows (key, id, fp, n, lo) of large ones, if there are any."""
+    sizes = cut(members.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "buckets")
+    pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    several = sizes.where("n > 2")
+    if several.isEmpty():
+        return pairs, None
+    rows = cut(members.join(several.select("key", "n", "lo"), "key").select("key", "id", "fp", "n", "lo"), "members")
+    few = rows.where(F.col("n") <= PAIRWISE_MEMBERS)
+    near = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fa")).join(few.select("key", F.col("id").alias("b"), F.col("fp").alias("fb")), "key")
+    pairs = pairs.unionByName(near.where((F.col("a") < F.col("b")) & within("fa", "fb", tau)).select("a", "b"))
+    return pairs, rows.where(F.col("n") > PAIRWISE_MEMBERS)
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, narrow: bool = False) -> DataFrame:
     """Components of the graph whose links are pairs that share a bucket and pass a test.
 
-    members: (key.., id long, fp long), where fp is the id's fingerprint; pairs whose fingerprints differ in more than
-    tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test.
+    members: (key long, id long, fp long), where fp is the id's fingerprint; pairs whose fingerprints differ in more than
+    tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test. With narrow, members of a
+    bucket of more than PAIRWISE_MEMBERS are candidates only if they also share a block of the fingerprint's bits.
     The result (id, root) has a row for each linked id. It equals the components of all verified pairs of all
     buckets, but never lists the pairs of a large bucket: its members are compared with its first, then with the first
     member of each of its components (of up to LEADERS, if more than FINISH_MEMBERS are left) unless they are in it
@@ -163,37 +234,40 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int)
     compared pair by pair across components after that; a larger one takes more rounds, each with twice as many leaders. A bucket is done when one
     component is left. So a bucket of n near copies costs n tests.
     """
-    keys = [c for c in members.columns if c not in ("id", "fp")]
-    sizes = cut(members.groupBy(*keys).agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "buckets")
-    pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    several = sizes.where("n > 2")
-    large = None
-    if not several.isEmpty():
-        rows = cut(members.join(several, keys).select(*keys, "id", "fp", "n", "lo"), "members")
-        few = rows.where(F.col("n") <= PAIRWISE_MEMBERS)
-        near = few.select(*keys, F.col("id").alias("a"), F.col("fp").alias("fa")).join(few.select(*keys, F.col("id").alias("b"), F.col("fp").alias("fb")), keys).where((F.col("a") < F.col("b")) & within("fa", "fb", tau))
-        large = rows.where(F.col("n") > PAIRWISE_MEMBERS)
-        pairs = pairs.unionByName(near.select("a", "b")).unionByName(large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
-        large = large.where("id <> lo").select(*keys, "id", "fp")
-    labels = cut(by_least(components(cut(verify(pairs.distinct()), "links"))), "labels")
+    with tidy() as keep:
+        return keep(_linked(members, verify, tau, narrow))
+
+
+def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, narrow: bool) -> DataFrame:
+    pairs, large = _crowded(members, tau)
+    if narrow and large is not None:
+        more, large = _crowded(_narrow(large), tau)
+        pairs = pairs.unionByName(more)
+    if large is not None:
+        pairs = pairs.unionByName(large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+        large = large.where("id <> lo").select("key", "id", "fp")
+    with tidy() as keep:
+        links = keep(cut(verify(pairs.distinct()), "links"))
+    labels = cut(by_least(components(links)), "labels")
     last, leaders = False, LEADERS
     while large is not None and not large.isEmpty():
-        own = cut(large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "large")
-        mixed = own.groupBy(*keys).agg(F.count("id").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(*keys, "m")
-        apart = cut(own.join(mixed, keys), "apart")
-        if apart.isEmpty():
-            break
-        few = F.col("m") <= FINISH_MEMBERS
-        heads = apart.groupBy(*keys, "root", "m").agg(F.min(F.struct("id", "fp")).alias("x")).select(*keys, "root", "m", "x.*")
-        turn = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
-        many = heads.where(~few).withColumn("turn", turn).where(F.col("turn") <= leaders)
-        lead = [*keys, F.col("root").alias("lead_root"), F.col("id").alias("lead"), F.col("fp").alias("lead_fp")]
-        leads = cut((apart if last else heads).where(few).select(*lead).unionByName(many.select(*lead)), "leads")
-        cross = apart.join(leads, keys).where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-        more = cut(verify(cross.distinct()), "links")
-        if not more.isEmpty():
-            labels = cut(joined(labels, more), "labels")
-        done = leads.select(*keys, F.col("lead").alias("id"))
-        large = cut(apart.select(*keys, "id", "fp").join(done, [*keys, "id"], "left_anti"), "members")
+        with tidy() as keep:
+            own = cut(large.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "large")
+            mixed = own.groupBy("key").agg(F.count("id").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "m")
+            apart = cut(own.join(mixed, "key"), "apart")
+            if apart.isEmpty():
+                break
+            few = F.col("m") <= FINISH_MEMBERS
+            heads = apart.groupBy("key", "root", "m").agg(F.min(F.struct("id", "fp")).alias("x")).select("key", "root", "m", "x.*")
+            turn = F.row_number().over(W.partitionBy("key").orderBy("id"))
+            many = heads.where(~few).withColumn("turn", turn).where(F.col("turn") <= leaders)
+            lead = ["key", F.col("root").alias("lead_root"), F.col("id").alias("lead"), F.col("fp").alias("lead_fp")]
+            leads = cut((apart if last else heads).where(few).select(*lead).unionByName(many.select(*lead)), "leads")
+            cross = apart.join(leads, "key").where((F.col("root") != F.col("lead_root")) & within("fp", "lead_fp", tau)).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+            more = cut(verify(cross.distinct()), "links")
+            if not more.isEmpty():
+                labels = keep(cut(joined(labels, more), "labels"))
+            done = leads.select("key", F.col("lead").alias("id"))
+            large = keep(cut(apart.select("key", "id", "fp").join(done, ["key", "id"], "left_anti"), "members"))
         last, leaders = True, 2 * leaders
-    return labels
+    return cut(labels, "labels")

@@ -208,7 +208,11 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     n = nodes.count()
     masks = plan(bit_counts(nodes), n, tau)
-    labels = near_links(filed(nodes, masks), tau) if tau in (2, 3) else link(filed(nodes, masks), lambda pairs: pairs.where(within("a", "b", tau)), tau)
+    members = filed(nodes, masks)
+    if tau in (2, 3):
+        labels = near_links(members, tau)
+    else:
+        labels = link(members.select(F.xxhash64("probe", "masked").alias("key"), "id", "fp"), lambda pairs: pairs.where(within("a", "b", tau)), tau)
     rooted = cut(nodes.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = cut(rooted.join(least, "root").select("fp", "component_id"), "named")
@@ -254,7 +258,7 @@ def near_copies(docs: DataFrame, width: int, tau: int, similarity: float) -> Dat
     texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("id"), "text")
     nodes = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "nodes")
     prints = cut(nodes.mapInArrow(partial(_sketches, width=width), "id bigint, fp bigint, own array<bigint>"), "sketches")
-    members = prints.select("id", "fp", F.posexplode("own").alias("probe", "masked")).select("probe", "masked", "id", "fp")
+    members = prints.select("id", "fp", F.posexplode("own").alias("probe", "masked")).select(F.xxhash64("probe", "masked").alias("key"), "id", "fp")
 
     def verify(pairs: DataFrame) -> DataFrame:
         fa, fb = (prints.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")

@@ -154,20 +154,25 @@ def test_edit_bounds_equal_levenshtein(spark):
     assert df.where(f"({lines.EDITS_WITHIN}) <> (levenshtein(ta, tb) <= most)").count() == 0
 
 
-def test_line_fingerprints(spark):
-    texts = ["a", "a b", "c d e " * 70, " ".join(f"w{i % 999}" for i in range(70_000))]
-    df = spark.createDataFrame([(i, t.strip(), len(t.split())) for i, t in enumerate(texts)], "id long, norm string, n_words int")
+def test_line_prints(spark):
+    texts = ["a", "a b", "c d e " * 70, "", " ".join(f"w{i % 999}" for i in range(70_000)), "x " * 40_000 + "y"]
+    df = spark.createDataFrame([(i, t.strip(), len(t.strip())) for i, t in enumerate(texts)], "id long, norm string, chars int")
     hashes = df.select("id", F.explode(F.split("norm", " ")).alias("w")).select("id", F.xxhash64("w").alias("h")).toPandas()
-    for r in lines.line_fingerprints(df).collect():
+    got = lines.line_prints(df).collect()
+    assert len(got) == len(texts)
+    for r in got:
         own = hashes[hashes.id == r.id].h.to_numpy()
         want = sum(1 << i for i in range(64) if 2 * int(((own >> i) & 1).sum()) > len(own))
         assert r.fp & (2**64 - 1) == want
+        blocks = {b for b in range(12) if np.bitwise_xor.reduce(own[(own.view(np.uint64) >> np.uint64(40)) % 12 == b]) != 0}
+        assert r.chars == len(texts[r.id].strip())
+        assert len(r["keys"]) == sum(len({b * n // 12 for b in blocks}) for n, lo, hi in lines.LEVELS if lo <= len(own) < (hi or 1 << 60))
 
 
 def test_crowded_buckets_link(spark):
     rnd = random.Random(9)
     items = [(i, rnd.randrange(2), rnd.randrange(1200)) for i in range(700)]
-    df = spark.createDataFrame([(k, i, v) for i, k, v in items], "k int, id long, fp long")
+    df = spark.createDataFrame([(k, i, v) for i, k, v in items], "key long, id long, fp long")
     place = {i: v for i, _, v in items}
     near = F.udf(lambda a, b: abs(place[a] - place[b]) <= 1, "boolean")
     got = {r.id: r.root for r in common.link(df, lambda pairs: pairs.where(near("a", "b")), 64).collect()}
@@ -280,9 +285,9 @@ def test_line_recall(spark):
             base = " ".join(word() for _ in range(words))
             rows += [(len(rows), base, words, typos), (len(rows) + 1, typo(rnd, base, typos), words, typos)]
     df = spark.createDataFrame(rows, "doc_id long, text string, words int, typos int")
-    occurring = lines.occurrences(df).localCheckpoint()
+    occurring = common.cut(lines.occurrences(df))
     own = {r.id: r.doc_id for r in occurring.collect()}
-    labels = {own[r.id]: r.root for r in lines.similar_lines(occurring, common.cut(lines.line_fingerprints(lines.grams(occurring)))).collect()}
+    labels = {own[r.id]: r.root for r in lines.similar_lines(occurring, common.cut(lines.line_prints(occurring))).collect()}
     d, e = df.alias("d"), df.alias("e")
     pairs = d.join(e, F.expr("d.words = e.words and d.typos = e.typos and d.doc_id < e.doc_id and abs(length(d.text) - length(e.text)) <= 0.2 * greatest(length(d.text), length(e.text))"))
     near = F.expr("levenshtein(d.text, e.text, cast(floor(0.2 * greatest(length(d.text), length(e.text)) + 1e-9) as int)) >= 0")
