@@ -26,6 +26,8 @@ EXPAND = 4
 #: Share of an audit's links that beams must find, and every how many-th query is audited.
 RECALL = 0.999
 AUDIT_EVERY = 37
+#: Audited queries of a block at least, if it has as many.
+AUDITS = 64
 SLACK = 1e-4
 
 
@@ -146,31 +148,35 @@ class Hnsw:
         """Pairs (query, node in the given order) with at least this similarity, beams widened until the audit passes."""
         q = np.ascontiguousarray(q, np.float32)
         n, width = len(self.x), BEAM // 2
-        audit = np.arange(0, len(q), AUDIT_EVERY)
+        every = max(1, min(AUDIT_EVERY, len(q) // AUDITS))
+        audit = np.arange(0, len(q), every)
         truth = q[audit] @ self.x.T >= least if len(audit) else np.zeros((0, n), bool)
         while True:
             a, b = self.within(q, least, width)
             found = np.zeros(truth.shape, bool)
-            at = a % AUDIT_EVERY == 0
-            found[a[at] // AUDIT_EVERY, b[at]] = True
-            if (found & truth).sum() >= RECALL * truth.sum() or width >= n:
+            at = a % every == 0
+            found[a[at] // every, b[at]] = True
+            if (found & truth).sum() >= RECALL * truth.sum():
+                return a, self.order[b]
+            if width >= n:  # a part of the graph that no beam reaches
+                a, b = np.concatenate([np.stack(np.nonzero(q[i : i + 1024] @ self.x.T >= least)) + [[i], [0]] for i in range(0, len(q), 1024)], 1)
                 return a, self.order[b]
             width *= 2
 
     def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         out, n = [], len(self.x)
         for at in range(0, len(q), 1024):
-            rows, w = np.arange(at, min(at + 1024, len(q))), min(width, n)
+            rows, w = np.arange(at, min(at + 1024, len(q))), width
             while len(rows):
-                if 8 * w >= n or w > 4 * width:  # a beam this wide costs more than the whole shard
+                if w > 4 * width:  # so many links that the whole shard is no dearer
                     r, b = np.nonzero(q[rows] @ self.x.T >= least)
                     out.append((rows[r], b))
                     break
-                ids, s = self.beam(q[rows], self.entries(q[rows], 0), 0, w, n)
+                ids, s = self.beam(q[rows], self.entries(q[rows], 0), 0, min(w, n), n)
                 full = s[:, -1] >= least
                 r, j = np.nonzero((s >= least) & ~full[:, None])
                 out.append((rows[r], ids[r, j]))
-                rows, w = rows[full], w * 4
+                rows, w = rows[full], 4 * w if w < 4 * width and w < n else 4 * width + 1
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int))
 
 
@@ -198,7 +204,7 @@ def _build(table: pa.Table) -> pa.Table:
     x = _matrix(table.column("embedding"), table.column("dim")[0].as_py())[order]
     graph = Hnsw(unit(x))
     row = {k: [table.column(k)[0].as_py()] for k in ("label", "dim", "shard", "blocks")}
-    return pa.table(row | {"graph": pa.array([pickle.dumps((ids[order], copies[order], x, graph))], pa.binary())}, schema=pa.schema([("label", pa.int32()), ("dim", pa.int32()), ("shard", pa.int32()), ("blocks", pa.int32()), ("graph", pa.binary())]))
+    return pa.table(row | {"graph": pa.array([pickle.dumps((ids[order], copies[order], x, graph))], pa.binary())}, schema=pa.schema([("label", table.schema.field("label").type), ("dim", pa.int32()), ("shard", pa.int32()), ("blocks", pa.int32()), ("graph", pa.binary())]))
 
 
 def _search(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
@@ -227,10 +233,11 @@ def embedding_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Links: cosine of at least least under equal labels that are not null, vectors of equal length. Vectors that are null,
     empty, zero, or hold null or non-finite components link with nothing and are kept. Repeated rows and equal
-    vectors are linked copies. No row: no rows.
+    vectors are linked copies. An empty table gives no rows. Other columns are ignored. Components are doubles.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    kind = rows.schema["label"].dataType.simpleString()
     part = usable() & F.col("label").isNotNull() & F.exists("embedding", lambda c: c != 0)
     alone = rows.where(~F.coalesce(part, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.where(part)
@@ -240,7 +247,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     sizes = cut(sizes.select("label", "dim", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"), F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("blocks")), "sizes")
     dealt = nodes.join(sizes, ["label", "dim"])
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    graphs = dealt.withColumn("shard", place(1, "shards")).groupBy("label", "dim", "shard").applyInArrow(_build, "label int, dim int, shard int, blocks int, graph binary")
+    graphs = dealt.withColumn("shard", place(1, "shards")).groupBy("label", "dim", "shard").applyInArrow(_build, f"label {kind}, dim int, shard int, blocks int, graph binary")
     graphs = cut(graphs, "graphs").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     asked = dealt.withColumn("block", place(2, "blocks")).withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
     keys = ["label", "dim", "shard", "block"]

@@ -9,6 +9,8 @@ text, with a penalty for each switch, labels spans; many texts advance together,
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
@@ -28,10 +30,13 @@ GRAMS = (1, 2, 3, 4)
 #: Cost of one switch of language between words, and the most that one word can speak for or against a language.
 SWITCH = 8.0
 CLIP = 6.0
+#: Share of what was clipped off that still counts, so that languages at the clip don't tie.
+TIES = 1e-3
 #: A language whose words are in a script less often than this is no candidate there.
 RARE_SCRIPT = 0.002
 MEMO_WORDS = 300_000
-CHUNK_WORDS = 1_500_000
+#: Words labelled together, times the number of languages.
+CHUNK_CELLS = 6_000_000
 
 # The first code point of each range and its script.
 _RANGES = [
@@ -45,7 +50,9 @@ _STARTS = [a for a, _ in _RANGES]
 SCRIPTS = sorted({s for _, s in _RANGES})
 _AT = [SCRIPTS.index(s) for _, s in _RANGES]
 
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Numbers that are word characters to the matcher but not letters: signs for fractions, exponents, Roman numerals.
+_SIGNS = "".join(map(re.escape, filter(lambda c: unicodedata.category(c) in ("Nl", "No"), map(chr, range(sys.maxunicode + 1)))))
+words_of = re.compile(rf"[^\W\d_{_SIGNS}]+").findall
 
 
 def script(word: str) -> int:
@@ -112,7 +119,8 @@ class Model:
 def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """Fit on rows with a text and a language; rows bounds the sample of each language (a documented bound; all if fewer).
 
-    The driver gets counts by language and n-gram bucket, whose number the data do not change.
+    The driver gets counts by language and n-gram bucket: at most BUCKETS for each language. Rows that share a doc_id are
+    drawn together.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -153,7 +161,7 @@ class Labeller(dict):
             m, total = self.model, 0
             for h, inside, firsts in grams(self.new):
                 total = total + np.add.reduceat(m.logp[h] * inside[:, None], firsts, axis=0)
-            own = np.clip(total, -CLIP, CLIP) + m.barred[[script(w) for w in self.new]]
+            own = np.clip(total, -CLIP, CLIP) + TIES * total + m.barred[[script(w) for w in self.new]]
             self.scored = np.concatenate([self.scored, own.astype(np.float32)])
             self.new = []
         return self.scored
@@ -170,15 +178,15 @@ class Labeller(dict):
         lengths = np.array([len(texts[i]) for i in order])
         steps = int(lengths[0]) if len(lengths) else 0
         if not steps:
-            return [np.empty(0, np.int8) for _ in texts]
+            return [np.empty(0, np.int32) for _ in texts]
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than t
         firsts = np.concatenate([[0], np.cumsum(active)])
         flat = np.empty(firsts[-1], np.int32)
         for r, i in enumerate(order):
             flat[firsts[: lengths[r]] + r] = texts[i]
-        back = np.empty((firsts[-1], k), np.int8)
+        back = np.empty((firsts[-1], k), np.int16)
         v = np.zeros((len(order), k), np.float32)
-        own = np.arange(k, dtype=np.int8)
+        own = np.arange(k, dtype=np.int32)
         for t in range(steps):
             n = active[t]
             x = v[:n]
@@ -189,8 +197,8 @@ class Labeller(dict):
                 back[firsts[t] : firsts[t + 1]] = np.where(move, best[:, None], own)
                 np.maximum(x, jump, out=x)
             x += scores[flat[firsts[t] : firsts[t + 1]]]
-        labels = np.empty(firsts[-1], np.int8)
-        now = np.zeros(len(order), np.int8)
+        labels = np.empty(firsts[-1], np.int32)
+        now = np.zeros(len(order), np.int32)
         started = 0
         for t in range(steps - 1, -1, -1):
             n = active[t]
@@ -230,7 +238,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, key: str) -> Iterator[pa.
         at, n = 0, b.num_rows
         while at < n:
             own, texts, total, first = labeller(), [], 0, at
-            while at < n and total < CHUNK_WORDS:
+            while at < n and total * max(1, len(names)) < CHUNK_CELLS:
                 texts.append(own.words(b.column(1)[at].as_py()) if names else (np.empty(0, np.int32),) * 2)
                 total += len(texts[-1][0])
                 at += 1
@@ -249,8 +257,9 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     """(keep, lang_pred, score, spans) of each row; keep names the column that comes along.
 
     lang_pred is the language of most letters, score its share of them; spans count words from 0. A text that is
-    null or has no letter, or a model without languages: "und", 0 and no spans. Ties go to the first language.
-    Whole texts are labelled. Rows may repeat.
+    null or has no letter (Unicode category L), or a model without languages: "und", 0 and no spans. Ties go to the first
+    language. Whole texts are labelled. Rows may repeat; an empty table gives no rows. Other columns are ignored. Up to
+    32,767 languages.
     """
     import hashlib
 

@@ -1,14 +1,17 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Rows and queries are dealt into blocks by a hash; each pair of a query block and a row block is searched by itself
-and the best k of each query are merged. In a pair both sides are indexed by cover trees: the children of a node
-are a greedy net of its points, apart from each other by more than the child scale and covering all within it. A
-pair of nodes is pruned when no score between their points, <c, d> + r|d| + s|c| + rs for centres c, d and covering
-radii r, s, can reach the worst k-th score of the query node. Leaves are scored by matrix products of whole numbers.
+Rows and queries are dealt into blocks by a hash; the cover tree of each block is built once and written. Each pair of a
+query block and a row block is searched by itself and the best k of each query are merged. The children of a node are a
+net of its points, chosen farthest first: they are apart from each other by more than the radius within which they cover
+the node's points, the first is the node's own centre, and each point belongs to the nearest. A pair of nodes is pruned
+when no score between their points, <c, d> + r|d| + s|c| + rs for centres c, d and covering radii r, s, can reach the
+worst k-th score of the query node. Leaves are scored by matrix products of whole numbers.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +20,11 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import cut, ship
 
-ROW_BLOCK = 2048
-QUERY_BLOCK = 4096
-LEAF = 256
-SMALL = 24
-#: Each level's scale is the one above over this.
-BASE = 1.5
+ROW_BLOCK = 16_384
+QUERY_BLOCK = 1024
+#: Points of a leaf at most, and children of a node at most.
+LEAF = 48
+NET = 12
 
 
 class Node:
@@ -36,47 +38,43 @@ class Node:
         self.worst = -np.inf
 
 
-def cover_tree(x: np.ndarray, points: np.ndarray | None = None) -> Node:
-    """A node holds all its points; nets smaller than SMALL are gathered into leaves."""
+def cover_tree(x: np.ndarray, points: np.ndarray | None = None, centre: int | None = None) -> Node:
+    """A node holds all its points; a node of up to LEAF points, or whose points are all equal, is a leaf."""
     points = np.arange(len(x)) if points is None else points
+    centre = _middle(x, points) if centre is None else centre
     if len(points) <= LEAF:
-        return Node(x, points, points[0])
-    own = x[points].astype(np.float32)
-    sq = (own * own).sum(1)
-    first = np.sqrt(np.maximum(sq - 2 * own @ own[0] + sq[0], 0)).max()
-    if first == 0:
-        return Node(x, points, points[0])
-    scale = float(first) / BASE
-    free, nets = np.ones(len(points), bool), []
-    while free.any():
-        at = np.nonzero(free)[0][:256]  # centres are tried in turn, distances in blocks
-        d2 = sq[at, None] + sq - 2 * own[at] @ own.T
-        for i, row in zip(at, d2 <= scale * scale, strict=True):
-            if free[i]:
-                row = row & free
-                row[i] = True
-                nets.append(np.nonzero(row)[0])
-                free &= ~row
-    nets.sort(key=len, reverse=True)
-    if len(nets[0]) == len(points):  # rounding: the net did not split the points
-        return Node(x, points, points[0])
-    children = [cover_tree(x, points[net]) for net in nets if len(net) >= SMALL]
-    rest = [net for net in nets if len(net) < SMALL]
-    loose = points[np.concatenate(rest)] if rest else points[:0]
-    children += [Node(x, loose[i : i + LEAF], loose[i]) for i in range(0, len(loose), LEAF)]
-    return Node(x, points, points[0], children)
+        return Node(x, points, centre)
+    own = x[points]
+    d = own - x[centre]
+    gap, nearest, centres = (d * d).sum(1), np.zeros(len(points), int), [centre]
+    while len(centres) < NET and gap.max() > 0:
+        far = int(points[gap.argmax()])
+        d = own - x[far]
+        new = (d * d).sum(1)
+        nearest[new < gap] = len(centres)
+        gap = np.minimum(gap, new)
+        centres.append(far)
+    if len(centres) == 1:
+        return Node(x, points, centre)
+    return Node(x, points, centre, [cover_tree(x, points[nearest == i], c) for i, c in enumerate(centres)])
+
+
+def _middle(x: np.ndarray, points: np.ndarray) -> int:
+    """The point nearest to the mean."""
+    d = x[points] - x[points].mean(0)
+    return int(points[(d * d).sum(1).argmin()])
 
 
 class Search:
     """Best k scores of each query against rows, ties to smaller ids; a query's own id is left out."""
 
-    def __init__(self, q, q_ids, x, x_ids, k: int):
+    def __init__(self, q, q_ids, x, x_ids, k: int, q_tree: Node | None = None, x_tree: Node | None = None):
         self.q, self.q_ids, self.x, self.x_ids, self.k = q, q_ids, x, x_ids, k
         self.scores = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         self.visits = 0
         if len(q) and len(x):
-            self.walk(cover_tree(q), [cover_tree(x)])
+            self.walk(q_tree or cover_tree(q), [x_tree or cover_tree(x)])
 
     def bounds(self, a: Node, rows: list[Node]) -> np.ndarray:
         c = np.stack([r.centre for r in rows])
@@ -129,34 +127,50 @@ def _matrix(column, width: int) -> np.ndarray:
 
 def _distinct(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Places of the first of rows that repeat both id and vector."""
-    return np.sort(np.unique(np.concatenate([ids[:, None].astype(np.float64), x], 1), axis=0, return_index=True)[1]) if len(np.unique(ids)) < len(ids) else np.arange(len(ids))
+    order = np.lexsort((*x.T, ids))
+    same = (ids[order][1:] == ids[order][:-1]) & (x[order][1:] == x[order][:-1]).all(1)
+    return np.sort(order[np.concatenate([[True], ~same])]) if len(ids) else order
+
+
+def _plant(table: pa.Table, width: int) -> pa.Table:
+    """A block's ids, vectors and cover tree as one row."""
+    ids = table.column("vec_id").to_numpy().astype(np.int64)
+    x = _matrix(table.column("v"), width)
+    keep = _distinct(ids, x)
+    return pa.table({"block": table.column("block")[:1], "tree": pa.array([pickle.dumps((ids[keep], x[keep], cover_tree(x[keep])))], pa.binary())})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors for each row of queries; both have vec_id and whole numbers v.
 
     Vectors of different length are compared over their common length. Rows that repeat id and vector count once;
-    rows with the query's id are its own and left out. Fewer than k candidates: all. Whole numbers are exact while
-    scores stay below 2 ** 53. Blocks are of a fixed size, so memory does not depend on the input.
+    rows with the query's id are its own and left out. Fewer than k candidates: all. An empty table gives no rows; null
+    ids must be left out before. Whole numbers are exact while scores stay below 2 ** 53. Blocks are of a fixed size, so
+    memory does not depend on the input; each pair of blocks is one task's work, and a tree moves once for each block of
+    the other side.
     """
     ship(vectors.sparkSession)
 
-    def block(df: DataFrame, n: int, size: int):
-        return F.pmod(F.xxhash64(F.lit(size), "vec_id"), F.lit(max(1, -(-n // size)))).cast("int")
+    def trees(df: DataFrame, n: int, size: int, width: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(size), "vec_id"), F.lit(max(1, -(-n // size)))).cast("int")
+        return cut(df.select(block.alias("block"), "vec_id", "v").groupBy("block").applyInArrow(lambda t: _plant(t, width), "block int, tree binary"), "trees")
 
-    n, m = vectors.count(), queries.count()
-    nb, mb = max(1, -(-n // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    rows = vectors.select(block(vectors, n, ROW_BLOCK).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(mb - 1))).alias("qb"), "vec_id", "v")
-    asked = queries.select(block(queries, m, QUERY_BLOCK).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"), "vec_id", "v")
+    n, m = (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first() for df in (vectors, queries))
+    width = max(1, n.w or 0, m.w or 0)
+    rows, asked = trees(vectors, n.n, ROW_BLOCK, width), trees(queries, m.n, QUERY_BLOCK, width)
+    parts = [F.lit(max(1, -(-c.n // s)) - 1) for c, s in ((n, ROW_BLOCK), (m, QUERY_BLOCK))]
+    rows = rows.select(F.col("block").alias("rb"), F.explode(F.sequence(F.lit(0), parts[1])).alias("qb"), "tree")
+    asked = asked.select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), parts[0])).alias("rb"), "tree")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        width = max((len(v) for t in (left, right) for v in t.column("v")), default=0)
-        x, q = (_matrix(t.column("v"), max(width, 1)) if t.num_rows else np.zeros((0, max(width, 1))) for t in (left, right))
-        x_ids, q_ids = left.column("vec_id").to_numpy().astype(np.int64), right.column("vec_id").to_numpy().astype(np.int64)
-        keep, ask = _distinct(x_ids, x), _distinct(q_ids, q)
-        s = Search(q[ask], q_ids[ask], x[keep], x_ids[keep], k)
-        i, j = np.nonzero(np.isfinite(s.scores))
-        return pa.table({"query_id": s.q_ids[i], "vec_id": s.found[i, j], "score": s.scores[i, j].astype(np.int64)})
+        out = {"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)}
+        if left.num_rows and right.num_rows:
+            x_ids, x, x_tree = pickle.loads(left.column("tree")[0].as_py())
+            q_ids, q, q_tree = pickle.loads(right.column("tree")[0].as_py())
+            s = Search(q, q_ids, x, x_ids, k, q_tree, x_tree)
+            i, j = np.nonzero(np.isfinite(s.scores))
+            out = {"query_id": s.q_ids[i], "vec_id": s.found[i, j], "score": s.scores[i, j].astype(np.int64)}
+        return pa.table(out)
 
     out = rows.groupBy("qb", "rb").cogroup(asked.groupBy("qb", "rb")).applyInArrow(search, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

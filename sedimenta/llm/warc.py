@@ -72,6 +72,8 @@ def _digest(payload: bytes) -> str:
 
 
 _FIELDS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("size", pa.int64()), ("head", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("page", pa.string()), ("refers", pa.string()), ("declared", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+#: A length of more digits is none: offsets stay whole numbers of 64 bits whatever a page claims.
+_LENGTH = re.compile("[0-9]{1,15}").fullmatch
 _PAGE = re.compile(r"<urn:page:(.*)>").fullmatch
 
 
@@ -101,7 +103,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {"path": path, "block": block, "rel": rel, "size": len(raw)}
             head, mark, _ = raw.partition(b"\r\n\r\n")
             h = _headers(head) if mark else {}
-            if h.get("content-length", "").isdecimal() and "warc-type" in h:
+            if _LENGTH(h.get("content-length", "")) and "warc-type" in h:
                 page, refers = (m[1] if (m := _PAGE(h.get(k, ""))) else None for k in ("warc-record-id", "warc-refers-to"))
                 row |= {"head": len(head) + 4, "length": int(h["content-length"]), "type": h["warc-type"], "page": page, "refers": refers, "declared": h.get("warc-payload-digest", "").removeprefix("sha1:")}
                 if len(raw) == row["head"] + row["length"] + 4:

@@ -137,6 +137,8 @@ def test_lines(spark, odd):
     r = {x.doc_id: x for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert r[1].text == docs[0][1] and r[2].text == "only two" and r[3].text is None and r[4].text == ""
     assert (r[2].n_lines, r[2].n_kept) == (3, 1)
+    named = spark.createDataFrame([(1, "same words here", 5), (1, "same words here", 5), (1, None, 5)], "doc_id long, text string, _at int").select("doc_id", "text", *[F.col("_at").alias(c) for c in ("_at", "_parts", "_doc", "_tag", "_stay", "stay", "parts", "at", "row", "tag")])
+    assert sorted((r.text is None, r.text or "") for r in lines.dedup_lines(named).collect()) == [(False, ""), (False, "same words here"), (True, "")]
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(odd.limit(0)).count() == 0
 
 
@@ -193,6 +195,34 @@ def test_top_k():
         assert list(zip(-s.scores[i], s.found[i], strict=True)) == want
 
 
+def test_top_k_prunes_and_keeps_ids(spark):
+    rnd = np.random.RandomState(15)
+    x = np.floor(64 * (rnd.randn(40, 24)[rnd.randint(0, 40, 6000)] + 0.05 * rnd.randn(6000, 24)))
+    ids = np.arange(6000, dtype=np.int64)
+    s = topk.Search(x[:300], ids[:300], x, ids, 5)
+    leaves = lambda t: sum(map(leaves, t.children)) if t.children else 1
+    assert s.visits < 0.5 * leaves(topk.cover_tree(x)) * leaves(topk.cover_tree(x[:300]))
+    score = x[:300] @ x.T
+    score[np.arange(300), np.arange(300)] = -np.inf
+    assert (s.scores == -np.sort(-score, 1)[:, :5]).all()
+    big = 2**53
+    rows = [(big, [1]), (big + 1, [1]), (big + 1, [1]), (1, [2]), (2, [3])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    assert {r.vec_id for r in topk.top_k(df, df.where("vec_id = 1"), 9).collect()} == {2, big, big + 1}
+
+
+def test_top_k_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
+    rnd = np.random.RandomState(16)
+    x = rnd.randint(-9, 9, (200, 6))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, v array<bigint>, score int")
+    got = topk.top_k(df, df.where("vec_id % 4 = 0"), 3).collect()
+    for i in range(0, 200, 4):
+        want = sorted((-int(x[j] @ x[i]), j) for j in range(200) if j != i)[:3]
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == i) == want
+
+
 def test_top_k_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [3.0]), (4, [3.0]), (5, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").where(topk.usable()).select("vec_id", F.transform("embedding", lambda c: c.cast("long")).alias("v"))
@@ -220,6 +250,31 @@ def test_embedding_groups(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (300, 301, 302)) and got[303].component_id <= 0
 
 
+def test_graphs_find_links_by_beams():
+    rnd = np.random.RandomState(26)
+    for n in (1, 30, 150, 3000):
+        x = rnd.randn(max(1, n // 6), 16)[rnd.randint(0, max(1, n // 6), n)] + 0.1 * rnd.randn(n, 16)
+        v = hnsw.unit(x)
+        graph = hnsw.Hnsw(v)
+        calls, beam = [], graph.beam
+        graph.beam = lambda *a, calls=calls, beam=beam: calls.append(1) or beam(*a)
+        a, b = graph.within(v.astype(np.float32), 0.93, hnsw.BEAM // 2)
+        assert calls
+        want = (v @ v.T >= 0.93).sum()
+        assert len(set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.95 * want
+        a, b = graph.links(v, 0.93 - hnsw.SLACK)
+        exact = set(zip(*np.nonzero(v @ v.T >= 0.93), strict=True))
+        assert len(exact & set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.99 * want
+
+
+def test_embedding_components_are_doubles(spark):
+    rows = [(1, [1e300, 1.0], 2**40), (2, [1e300, 1.0], 2**40), (3, [-1e300, 1.0], 2**40), (2, [1e300, 1.0], 2**40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.embedding_groups(df).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]
+    assert hnsw.embedding_groups(df.limit(0)).count() == 0
+
+
 def test_toxicity(spark, odd):
     docs = [(i, f"word{i % 7} plain text number" + (" you idiot scum" if i % 5 == 0 else "")) for i in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -244,6 +299,47 @@ def test_language(spark, odd):
     assert {x.lang_pred for x in language.identify(odd, language.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_signs_are_no_letters_and_many_languages(spark):
+    rnd = random.Random(18)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03d}": ["".join(rnd.choice(rnd.sample(alphabet, 4)) for _ in range(7)) for _ in range(12)] for k in range(200)}
+    rows = [(i, " ".join(rnd.choices(words[k], k=40)), k) for i, k in enumerate(list(words) * 2)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([*[(i, t) for i, t, _ in rows[:200]], (900, "½ ² 3 Ⅷ"), (901, words["l007"][0])], "doc_id long, text string")
+    r = {x.doc_id: x for x in language.identify(asked, model).collect()}
+    assert sum(r[i].lang_pred == k for i, _, k in rows[:200]) >= 195 and r[901].lang_pred == "l007"
+    assert (r[900].lang_pred, r[900].score) == ("und", 0.0)
+
+
+def test_viterbi_equals_every_path():
+    from itertools import product
+
+    rnd = np.random.RandomState(19)
+    own = language.Labeller(language.Model(["a", "b", "c"], np.ones((3, language.BUCKETS)), np.ones((3, len(language.SCRIPTS)))))
+    own.scored = (6 * rnd.randn(9, 3)).astype(np.float32)
+    texts = [rnd.randint(0, 9, n) for n in (6, 1, 4, 0)]
+    for text, got in zip(texts, own.viterbi(texts), strict=True):
+        cost = lambda p, text=text: sum(own.scored[w, k] for w, k in zip(text, p, strict=True)) - language.SWITCH * sum(x != y for x, y in zip(p, p[1:], strict=False))
+        assert abs(cost(got.tolist()) - max(map(cost, product(range(3), repeat=len(text))))) < 1e-3
+
+
+def test_warc_forged_lengths(spark):
+    forged = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n" for n in ("9" * 20, "9" * 4301, str(2**63 - 1), "９９", "-1", ""))
+    rows = [(i, "u", f"{i}{forged}" + "long " * 300_000 * (i == 3)) for i in range(5)] + [(3, "u", "again"), (7, None, "é\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = common.scratch_path(spark, "forged")
+    warc.write_archives(df, path, compression="none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        got = sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.resolve(warc.read_archives(spark, path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((i, len(h.encode()), "response") for i, _, h in rows)
+    empty = common.scratch_path(spark, "empty")
+    warc.write_archives(df.limit(0), empty)
+    assert warc.resolve(warc.read_archives(spark, empty)).count() == 0
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_warc(spark, compression):
     fake = "x WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
