@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 MONTHS = "january february march april may june july august september october november december".split()
 _SHORT, _LONG = "|".join(m[:3].title() for m in MONTHS), "|".join(m.title() for m in MONTHS)
 _DMON, _DMONTH = rf"(\d{{1,2}})\s+({_SHORT})\s+(\d{{4}})", rf"(\d{{1,2}})\s+({_LONG})\s+(\d{{4}})"
-_YMD, _DMY_SLASH, _DMY_DASH = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{1,2})-(\d{1,2})-(\d{4})"
+_LOOSE_YMD = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+_YMD, _DMY_SLASH, _DMY_DASH = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{1,2})-(\d{1,2})-(\d{4})"
 #: Each dialect: patterns with the groups of year, month and day; whether case matters in the pattern, in month names.
 DIALECTS = {
     "five": ([(_DMON, 3, 2, 1), (_DMONTH, 3, 2, 1), (_YMD, 1, 2, 3), (_DMY_SLASH, 3, 2, 1), (_DMY_DASH, 3, 2, 1)], False, False),
     "strict": ([(_DMON, 3, 2, 1), (_DMONTH, 3, 2, 1), (_YMD, 1, 2, 3), (_DMY_SLASH, 3, 2, 1)], True, True),
-    "titled": ([(_DMON, 3, 2, 1), (_YMD, 1, 2, 3), (_DMY_SLASH, 3, 2, 1), (_DMONTH, 3, 2, 1)], False, True),
+    "titled": ([(_DMON, 3, 2, 1), (_LOOSE_YMD, 1, 2, 3), (_DMY_SLASH, 3, 2, 1), (_DMONTH, 3, 2, 1)], False, True),
 }
 
 
@@ -51,6 +52,12 @@ def in_range(day: Column, first: str, last: str, keep_null: bool = True) -> Colu
     return F.coalesce(inside, F.lit(keep_null))
 
 
+def year_span(first: Column, last: Column) -> Column:
+    """Every year from first to last; empty if either is no number or last is before first."""
+    a, b = first.try_cast("int"), last.try_cast("int")
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+
 def period(text: Column) -> Column:
     """2008-Q1, 20252Q, 2017-12 or a year, as its first day."""
     year = F.substring(text, 1, 4).try_cast("int")
@@ -58,3 +65,21 @@ def period(text: Column) -> Column:
     month = F.nullif(F.regexp_extract(text, r"^\d{4}-(0[1-9]|1[0-2])$", 1), F.lit("")).try_cast("int")
     first = F.coalesce((quarter - 1) * 3 + 1, month, F.when(text.rlike(r"^\d{4}$"), 1))
     return F.when(first.isNotNull(), F.make_date(year, first, F.lit(1)))
+
+
+def slug_date(text: Column, slug: Column, otherwise: Column) -> Column:
+    """A page's date: a month-first date is looked for but not read by the strict dialect, so the year in the address decides."""
+    near = F.regexp_extract(text, r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}\b", 0)
+    year = lambda y: F.when(F.contains(slug, F.lit(y)), F.lit(f"{y}-06-01").cast("date"))
+    return F.coalesce(F.when(near != "", find_date(near, "strict")), year("2024"), year("2023"), otherwise)
+
+
+def from_epoch(seconds: Column) -> Column:
+    """ISO form of an epoch in the session's zone."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def feed_time(stamp: Column) -> Column:
+    """A feed's time (RFC 822) as wall clock with the label +08:00; null if it is none."""
+    parsed = F.try_to_timestamp(F.regexp_extract(stamp, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    return F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'+08:00'")

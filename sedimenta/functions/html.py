@@ -45,23 +45,59 @@ def text(html: Column, mode: str = "space") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
 
 
-def blocks(html: Column, tags: str = "p|li|td|th", least: int = 20) -> Column:
-    """The texts of blocks longer than least, a blank line between."""
-    each = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})>"), F.lit(1)), lambda x: text(x))
-    return F.array_join(F.filter(each, lambda x: F.length(x) > least), "\n\n")
+def blocks(html: Column, tags: str = "p|div|li|td|th", least: int = 20, fallback: int | None = 30) -> Column:
+    """The texts of blocks longer than least, a blank line between; if there are none, of paragraphs longer than fallback."""
+
+    def of(kinds: str, n: int) -> Column:
+        each = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<({kinds})\b[^>]*>(.*?)</\1>"), F.lit(2)), lambda x: text(x))
+        return F.array_join(F.filter(each, lambda x: F.length(x) > n), "\n\n")
+
+    own = of(tags, least)
+    return own if fallback is None else F.when(own != "", own).otherwise(of("p", fallback))
 
 
 def anchors(html: Column) -> Column:
     """An array of (href, text), in page order."""
-    pattern = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
     href, inner = (F.regexp_extract_all(html, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.transform(F.arrays_zip(href.alias("href"), inner.alias("inner")), lambda a: F.struct(a["href"].alias("href"), text(a["inner"]).alias("text")))
+    bare = lambda h: F.regexp_replace(h, r"""^["']|["']$""", "")
+    return F.transform(F.arrays_zip(href.alias("href"), inner.alias("inner")), lambda a: F.struct(bare(a["href"]).alias("href"), text(a["inner"]).alias("text")))
+
+
+def anchors_saying(html: Column, pattern: str) -> Column:
+    """The anchors whose text matches."""
+    return F.filter(anchors(html), lambda a: a["text"].rlike(pattern))
+
+
+def text_node(html: Column, pattern: str) -> Column:
+    """The first run of text between tags in which the pattern is found, null if none."""
+    nodes = F.split(html, "<[^>]*>")
+    return F.get(F.filter(nodes, lambda x: x.rlike(pattern)), 0)
+
+
+def first_selector(found: list[Column]) -> Column:
+    """Of arrays of matches by several selectors the first that is not empty."""
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array().cast("array<string>"))
+
+
+def every_selector(found: list[Column]) -> Column:
+    """Matches of all selectors, each once."""
+    return F.array_distinct(F.concat(*found))
 
 
 def absolute(href: Column, base: Column) -> Column:
-    root = F.regexp_extract(base, r"^(https?://[^/]*)", 1)
-    folder = F.regexp_replace(base, r"[^/]*$", "")
-    return F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    """The address that href names on the page base; "../" climbs, "?" and "#" keep the page."""
+    root = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
+    page = F.regexp_replace(base, "#.*$", "")
+    path = F.regexp_replace(page, r"\?.*$", "")
+    folder = F.when(path == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    joined = F.when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
+    for _ in range(4):
+        joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"(?<=[^:/])/(?!\.\./)[^/]+/\.\./", "/")
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href == "", page).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
+        .when(href.startswith("?"), F.concat(path, href)).when(href.startswith("#"), F.concat(page, href)).otherwise(joined)
+    )
 
 
 def by_class(html: Column, part: str) -> Column:

@@ -130,9 +130,32 @@ EXTRACTORS: dict[str, tuple[str, bool, str]] = {
 }
 
 
+#: Fields that count only where a word is in the text.
+GUARDS = {"gfa_sqft": "tender"}
+# Patterns of names, in order of preference, and of names that are all collected.
+LOCATION = [r"(?:at\s+|in\s+)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)(?:\s+(?:Road|Street|Avenue|Drive|Lane|Park|Estate|Town|Area))", r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*?)\s+(?:development|project|site|area)"]
+FACILITIES = [r"(?i)Pasir Panjang Wholesale Centre", r"(?i)Jurong Fishery Port", r"(?i)([A-Z][a-z]+ (?:Hawker Centre|Food Court|Market))"]
+REGIONS = [r"(?i)(Pasir Panjang)", r"(?i)(Jurong)", r"(?i)(Lim Chu Kang)", r"(?i)(Sungei Tengah)", r"(?i)([A-Z][a-z]+ (?:Town|Area|Region))"]
+NAMED_PLACES = [r"(Lim Chu Kang)", r"(Sungei Tengah)", r"(Pasir Panjang)", r"(Jurong)", r"([A-Z][a-z]+ [A-Z][a-z]+)"]
+
+
+def location(text: Column) -> Column:
+    """The place by the first pattern that matches, else null."""
+    return F.coalesce(*[group(text, p) for p in LOCATION])
+
+
+def effective_date(text: Column) -> Column:
+    """The day from which something is effective, as a time stamp of midnight at +08:00; an impossible day is null."""
+    found = group(F.lower(text), r"effective\s+(?:from\s+)?(\d{1,2}\s+\w+\s+\d{4})")
+    day = F.try_to_timestamp(F.initcap(F.regexp_replace(found, r"\s+", " ")), F.lit("d MMMM yyyy"))
+    return F.date_format(day, "yyyy-MM-dd'T00:00:00+08:00'")
+
+
 def extract(text: Column, field: str) -> Column:
     pattern, low, kind = EXTRACTORS[field]
     found = group(F.lower(text) if low else text, pattern)
+    if field in GUARDS:
+        found = F.when(F.contains(F.lower(text), F.lit(GUARDS[field])), found)
     return found if kind == "string" else number(found, kind)
 
 

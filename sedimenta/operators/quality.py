@@ -21,9 +21,15 @@ def quality_score(length: Column, source: Column, sentiment: Column, location: C
 
 
 def violations(df: DataFrame) -> DataFrame:
-    """Adds violations: which of the written rules a record (id, source, url, content, rating, score) breaks."""
+    """Adds violations: which of the written rules a record (id, source, url, content, rating, score) breaks.
+
+    A column scraped_at must be an ISO 8601 time, a column quality_score between 0 and 1.
+    """
+    extra = {"date": F.try_to_timestamp("scraped_at").isNotNull()} if "scraped_at" in df.columns else {}
+    if "quality_score" in df.columns:
+        extra["quality"] = F.col("quality_score").isNull() | F.col("quality_score").between(0, 1)
     alone = F.count(F.lit(1)).over(W.partitionBy("source", "id")) == 1
-    tests = {
+    tests = extra | {
         "required": F.col("id").isNotNull() & F.col("source").isNotNull() & F.col("url").isNotNull() & F.col("content").isNotNull(),
         "unique_id": alone, "url": F.col("url").rlike("^https?://"), "length": F.length("content") >= 20,
         "rating": F.col("rating").isNull() | F.col("rating").between(1, 5), "sentiment": F.col("score").isNull() | F.col("score").between(-1, 1),

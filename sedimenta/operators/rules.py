@@ -5,10 +5,13 @@ A rule is (label, any of these terms[, all of these as well]); terms are substri
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sedimenta.functions.text import keyword_any
+from sedimenta.functions.text import extract as text_field
+from sedimenta.functions.text import found_terms, keyword_any, release_id, reporting_period
 
 # Labels and terms of the classifiers.
 RULES: dict[str, tuple[list[tuple], str | None]] = {
@@ -18,7 +21,7 @@ RULES: dict[str, tuple[list[tuple], str | None]] = {
     "ura_land_subtype": ([("current_sites", ["current", "gls sites"]), ("sites_for_tender", ["tender"]), ("past_sites", ["past"])], "general_land_sales"),
     "ura_sentiment": ([("market_wide", ["gls programme", "land sales programme"]), ("market_wide", ["quarterly statistics", "price index"]), ("location_specific", ["tender launch", "tender award"]), ("policy_driven", ["cooling measures", "policy change"])], "moderate"),
     "hdb_policy_type": ([("bto_launch", ["bto", "build to order", "ballot", "launch"]), ("housing_grant", ["grant", "subsidy", "fresh start", "enhanced"]), ("resale_policy", ["resale", "selling", "transaction"]), ("rental_policy", ["rental", "rent", "lease"]), ("ec_development", ["ec", "executive condominium", "tender"]), ("community_development", ["community", "neighborhood", "resident"]), ("commercial_development", ["commercial", "business", "shop"])], "general_housing"),
-    "hdb_grant_type": ([("fresh_start", ["fresh start"]), ("enhanced_grant", ["enhanced"], ["grant"]), ("proximity_grant", ["proximity"], ["grant"])], None),
+    "hdb_grant_type": ([("fresh_start", ["fresh start"]), ("enhanced_grant", ["enhanced"], ["grant"]), ("proximity_grant", ["proximity"])], None),
     "mnd_policy_type": ([("cooling_measures", ["stamp duty", "ssd", "absd", "cooling"]), ("bto_policy", ["bto", "ballot", "launch"]), ("housing_grants", ["grant", "subsidy", "assistance"]), ("land_supply", ["gls", "land sales", "supply"]), ("estate_upgrading", ["upgrading", "hip", "ease", "improvement"])], "general_housing"),
     "sla_category": ([("land_acquisition", ["land acquisition", "compulsory acquisition"]), ("state_property_development", ["tender"], ["state property"]), ("regulatory_update", ["land betterment charge", "lbc"]), ("market_data", ["statistics", "data"])], "general_announcement"),
     "sla_development": ([("BTO", ["bto"]), ("private_housing", ["private"], ["housing"]), ("commercial", ["commercial"]), ("industrial", ["industrial"])], None),
@@ -63,21 +66,25 @@ def subtype(text: Column, kind: Column) -> Column:
     return out
 
 
+def _part(text: Column, *parts: str) -> Column:
+    """True if any part is in the text as it stands; null: false."""
+    return reduce(lambda a, b: a | b, (F.contains(F.coalesce(text, F.lit("")), F.lit(p)) for p in parts))
+
+
 def mas_policy(url: Column, text: Column) -> Column:
     """Type by address, then subtype by text: "type/subtype", null if the address tells nothing."""
-    u = F.lower(url)
-    news, rule, macro, said = keyword_any(u, ["media-release", "news"]), keyword_any(u, ["regulation", "notice"]), keyword_any(u, ["macroprudential"]), keyword_any(u, ["parliamentary", "speech"])
+    news, rule, macro, said = _part(url, "media-release", "news"), _part(url, "regulation", "notice"), _part(url, "macroprudential"), _part(url, "parliamentary", "speech")
     notice = first_match(text, [("tdsr_computation", ["tdsr"]), ("property_lending", ["property loan"]), ("housing_lending", ["housing loan"])], None)
     with_type = lambda kind, sub: F.concat_ws("/", F.lit(kind), sub)
     return (
         F.when(news, with_type("policy_announcement", classify(text, "mas_subtype"))).when(rule, with_type("regulatory_requirement", notice)).when(macro, F.lit("macroprudential_policy/policy_framework"))
-        .when(said, with_type("policy_explanation", F.when(keyword_any(u, ["parliamentary"]), "parliamentary_reply").otherwise("speech")))
+        .when(said, with_type("policy_explanation", F.when(_part(url, "parliamentary"), "parliamentary_reply").otherwise("speech")))
     )
 
 
 def route(category: Column, key: Column) -> Column:
     """The output bucket of a record, by category and id."""
-    c, k = F.lower(F.coalesce(category, F.lit(""))), F.lower(F.coalesce(key, F.lit("")))
+    c, k = F.coalesce(category, F.lit("")), F.coalesce(key, F.lit(""))
     both = lambda t: F.contains(c, F.lit(t)) | F.contains(k, F.lit(t))
     return (
         F.when(F.contains(c, F.lit("food_infrastructure")) | F.contains(k, F.lit("newsroom")), "newsroom").when(F.contains(k, F.lit("food_retail")), "food_retail")
@@ -85,6 +92,43 @@ def route(category: Column, key: Column) -> Column:
     )
 
 
+# The policy type that goes with a category, types by kind of page, and labels with their terms.
+SLA_POLICY = {"land_acquisition": "public_development", "state_property_development": "adaptive_reuse", "regulatory_update": "fee_revision", "market_data": "statistical_release", "general_announcement": "information_update"}
+MEASURES = {"ABSD": ["absd"], "TDSR": ["tdsr"], "LTV": ["ltv"], "MSR": ["msr"]}
+BORROWERS = {"private_property": ["private property"], "hdb_upgraders": ["hdb"], "first_time_buyers": ["first-time"], "investors": ["investor"]}
+MATERIALS = ["steel", "concrete", "cement", "sand", "timber", "labor", "labour"]
+COST_DRIVERS = ["supply chain", "material shortage", "labor costs", "inflation", "demand"]
+IMPACTS = ["developers", "contractors", "buyers", "construction industry"]
+EFFICIENCY = ["automation", "prefabrication", "digitalization", "planning", "technology"]
+
+
+def sla_policy(text: Column) -> Column:
+    """The policy type of the text's category."""
+    kind = classify(text, "sla_category")
+    return F.coalesce(*[F.when(kind == k, v) for k, v in SLA_POLICY.items()])
+
+
+def institutions(text: Column) -> Column:
+    """Banks, then finance companies, which count only where banks are named; null if none."""
+    both = F.when(keyword_any(text, ["finance companies"]), F.array(F.lit("banks"), F.lit("finance_companies"))).otherwise(F.array(F.lit("banks")))
+    return F.when(keyword_any(text, ["bank"]), both)
+
+
+def field_groups(text: Column) -> Column:
+    """Which of three groups of fields apply, each tested by itself, as a struct of flags."""
+    return F.struct(*[keyword_any(text, terms).alias(name) for name, terms in FIELD_GROUPS.items()])
+
+
+def by_category(text: Column, category: Column) -> Column:
+    """The fields that a record's category calls for, as JSON; null for any other category."""
+    data = F.struct(text_field(text, "index_value").alias("index_value"), reporting_period(text).alias("reporting_period"), classify(text, "bca_outlook").alias("market_outlook"))
+    release = F.struct(release_id(text, "BCA").alias("press_release_id"), text_field(text, "price_change_any").alias("price_change_percent"), found_terms(text, MATERIALS).alias("key_materials"))
+    output = F.struct(classify(text, "bca_trend").alias("productivity_trend"), found_terms(text, EFFICIENCY).alias("efficiency_factors"))
+    rule = F.struct(classify(text, "bca_compliance").alias("compliance_type"), F.when(keyword_any(text, ["green mark"]), "green_mark").alias("green_building_program"))
+    arms = {"media_releases": release, "construction_data": data, "productivity_reports": output, "regulatory_updates": rule}
+    return F.coalesce(*[F.when(category == k, F.to_json(v)) for k, v in arms.items()])
+
+
 def any_sql(column: str, terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({column}), '{t}')" for t in terms) + ")"
 

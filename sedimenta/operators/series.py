@@ -30,10 +30,10 @@ def unpivoted(df: DataFrame, key: str) -> DataFrame:
     return long.withColumns({"first_day": period(F.col("period")), "value": measure(F.col("value"))})
 
 
-def hierarchy(df: DataFrame, key: str, order: str, step: int = 4) -> DataFrame:
-    """Adds level, name and parent, from leading spaces and file order."""
+def hierarchy(df: DataFrame, key: str, order: str, step: int = 4, file: str | None = None) -> DataFrame:
+    """Adds level, name and parent, from leading spaces and the order inside a file; without file, the rows are one file."""
     out = df.withColumn("level", F.floor((F.length(key) - F.length(F.ltrim(F.col(key)))) / step).cast("int")).withColumn("name", F.trim(F.col(key)))
-    above = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    above = (W.partitionBy(file) if file else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     for level in range(3):
         out = out.withColumn(f"_at{level}", F.last(F.when(F.col("level") == level, F.col("name")), ignorenulls=True).over(above))
     parent = F.when(F.col("level") == 1, F.col("_at0")).when(F.col("level") == 2, F.col("_at1")).when(F.col("level") == 3, F.col("_at2"))
@@ -54,3 +54,8 @@ def changes(df: DataFrame, dims: list[str], order: str, value: str, lag: int = 1
 def distinct_files(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """Of files with equal bytes, the one whose path comes first."""
     return df.groupBy(F.sha2(content, 256).alias("sha256")).agg(F.min(path).alias(path))
+
+
+def summary(df: DataFrame, dims: list[str], order: str, value: str) -> DataFrame:
+    """Average and last value (by order) of each combination of dims."""
+    return df.groupBy(*dims).agg(F.avg(value).alias("average"), F.max_by(value, order).alias("last"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import dates, html, text
 from sedimenta.operators import collections as coll
 from sedimenta.operators import quality, rules
+from sedimenta.plans import samples
 
 VOCABULARY = ["license", "apache", "rent", "ec", "ease", "token", "reserved", "lease", "data", "condo"]
 TIERS = [("high", ["license", "apache"]), ("medium", ["reserved", "token"]), ("low", ["rent", "ease"])]
@@ -67,10 +68,6 @@ def _quality(s, d):
     return docs.select("doc_id", F.round(score, 6).alias("quality_score"))
 
 
-def _classified(name):
-    return lambda s, d: coll.counts(_docs(s, d), rules.classify(_T(), name), "label")
-
-
 def _nested(s, d):
     rows = coll.nest(_turns(s, d), "conv_id", "turn", ["role", "text"], 10, lambda c: c["text"] != "[deleted]")
     return rows.select("conv_id", F.size("children").cast("long").alias("n_children"), F.get("children", 0)["role"].alias("first_role"))
@@ -104,9 +101,6 @@ def _table():
     q["first_place"] = (lambda s, d: _docs(s, d).select("doc_id", text.first_place(_T(), GAZETTEER).alias("place")), f"SELECT doc_id, CASE {' '.join(f'''WHEN contains(lower(text), '{g}') THEN '{g.title()}' ''' for g in GAZETTEER)} END AS place FROM documents")
     q["label_set"] = (lambda s, d: _docs(s, d).select("doc_id", F.array_join(text.labels(_T(), LABELS), "|").alias("labels")), "SELECT doc_id, concat_ws('|', " + ", ".join(f"CASE WHEN {rules.any_sql('text', t)} THEN '{k}' END" for k, t in LABELS.items()) + ") AS labels FROM documents")
     q["tag_counts"] = (lambda s, d: coll.array_counts(_docs(s, d), text.tags(_T(), VOCABULARY, None), "tag"), f"SELECT tag, count(*) AS n FROM (SELECT unnest({_TAGS}) AS tag FROM documents) GROUP BY tag")
-    for name, (arms, default) in rules.RULES.items():
-        q[f"classify_{name}"] = (_classified(name), f"SELECT coalesce({rules.case_sql('text', arms, default)}, 'unknown') AS label, count(*) AS n FROM documents GROUP BY 1")
-    q["flags"] = (lambda s, d: _docs(s, d).agg(*[F.count_if(text.keyword_any(_T(), t)).alias(k) for k, t in rules.FLAGS.items()]), "SELECT " + ", ".join(f"count_if({rules.any_sql('text', t)})::BIGINT AS {k}" for k, t in rules.FLAGS.items()) + " FROM documents")
     q["length_stats"] = (
         lambda s, d: _docs(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg_length"), F.sum(F.length("text")).alias("total_length"), F.sum(text.word_count(_T())).alias("words"), F.count_if(F.length("text") > 3000).alias("long_docs")),
         f"SELECT lang, count(*) AS n, avg(length(text)) AS avg_length, sum(length(text))::BIGINT AS total_length, sum({_WORDS})::BIGINT AS words, count_if(length(text) > 3000)::BIGINT AS long_docs FROM documents GROUP BY lang",
@@ -136,7 +130,7 @@ def _table():
     q["nested_children"] = (_nested, "SELECT conv_id, count(*) AS n_children, arg_min(role, turn) AS first_role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 10 GROUP BY conv_id")
     q["quality_score"] = (_quality, f"SELECT d.doc_id, round({_RATIO} * 0.2::DOUBLE + coalesce(quality, 0) * 0.3::DOUBLE + 0.1::DOUBLE + CASE WHEN {rules.any_sql('text', GAZETTEER)} THEN 0.15::DOUBLE ELSE 0 END + 0.15::DOUBLE, 6) AS quality_score FROM documents d LEFT JOIN labels USING (doc_id)")
     q["follow_links"] = (lambda s, d: coll.follow_links(_docs(s, d).select("doc_id", F.col("doc_id").alias("page_id")), _pages(s, d), "page_id").select("page_id", "url"), "SELECT page_id, url FROM pages WHERE page_id IN (SELECT doc_id FROM documents)")
-    return q
+    return q | samples.table()
 
 
 def queries():

@@ -29,12 +29,26 @@ def combined_and_parts(df: DataFrame, path: str, bucket: str) -> None:
     df.unpersist()
 
 
-def json_array(df: DataFrame) -> DataFrame:
-    """One row with all rows as a JSON array; for small results."""
-    return df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+def json_array(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row with all rows as a JSON array; for results of up to most rows, an error for larger ones."""
+    few = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("*")).alias("rows"))
+    return few.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"more than {most} rows for one JSON array"))).otherwise(F.to_json("rows")).alias("value"))
 
 
 def envelope(df: DataFrame, path: str, manifest: DataFrame) -> None:
     """Records, and beside them what is known about the run."""
     json_lines(df, f"{path}/articles")
     json_lines(manifest, f"{path}/scraping_metadata")
+
+
+def statistics(df: DataFrame, path: str, key: str, text: str = "text") -> DataFrame:
+    """Write counts and text lengths by key and in total, replacing what was there; returns what was written."""
+    stats = df.rollup(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(text)).alias("avg_length"), F.sum(F.length(text)).alias("total_length"))
+    stats = stats.coalesce(1)
+    stats.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return stats
+
+
+def report(df: DataFrame, rows: int = 20) -> None:
+    """Print the first rows of a summary."""
+    df.show(rows, truncate=False)

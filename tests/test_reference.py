@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import dates, html, text
 from sedimenta.operators import collections as coll
 from sedimenta.operators import quality, rules, series
-from sedimenta.plans import catalog
+from sedimenta.plans import catalog, samples
 from sedimenta.sources import readers, sinks
 
 DATA = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def test_truncations(spark):
     assert one(spark, "a" * 250 + " " + "b" * 100, lambda c: text.cut_late_sentence(c, 300)) == "a" * 250
 
 
-@pytest.mark.parametrize(("value", "dialect", "day"), [("31 Feb 2024 and 2024-03-05", "five", dt.date(2024, 3, 5)), ("Jan 5, 2024", "strict", None), ("15 jan 2024", "titled", None), ("15 jan 2024", "five", dt.date(2024, 1, 15)), ("5/3/2024", "strict", dt.date(2024, 3, 5)), ("", "five", None)])
+@pytest.mark.parametrize(("value", "dialect", "day"), [("31 Feb 2024 and 2024-03-05", "five", dt.date(2024, 3, 5)), ("Jan 5, 2024", "strict", None), ("15 jan 2024", "titled", None), ("15 jan 2024", "five", dt.date(2024, 1, 15)), ("5/3/2024", "strict", dt.date(2024, 3, 5)), ("2024-1-5", "five", None), ("2024-1-5", "strict", None), ("2024-1-5", "titled", dt.date(2024, 1, 5)), ("", "five", None)])
 def test_dates(spark, value, dialect, day):
     assert one(spark, value, lambda c: dates.find_date(c, dialect)) == day
 
@@ -71,6 +71,8 @@ def test_html(spark):
 def test_rules(spark):
     assert one(spark, "Quarterly statistics of GLS", lambda c: rules.classify(c, "ura_policy_type")) == "gls_programme"
     assert one(spark, "x", lambda c: rules.classify(c, "hdb_grant_type")) is None
+    assert one(spark, "Proximity housing", lambda c: rules.classify(c, "hdb_grant_type")) == "proximity_grant"
+    assert one(spark, "https://x/NEWS", lambda c: rules.mas_policy(c, F.lit("absd"))) is None
     assert one(spark, "https://x/news/1", lambda c: rules.mas_policy(c, F.lit("absd up"))) == "policy_announcement/absd_adjustment"
 
 
@@ -96,10 +98,11 @@ def test_sinks(spark, tmp_path):
 
 def test_catalog_equals_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "events", "conversations", "labels"):
+    for t in ("documents", "pages", "events", "conversations", "labels", "orders"):
         con.sql(f"create view {t} as from '{DATA}/{t}.parquet'")
     sql = catalog.oracle_sql()
-    for name in ("minimum_slice", "ordered_tags", "classify_hdb_policy_type", "truncate_sentences", "page_text", "anchors", "find_dates", "nested_children", "early_stop", "quality_score"):
+    few = ["minimum_slice", "ordered_tags", "truncate_sentences", "page_text", "anchors", "find_dates", "nested_children", "early_stop", "quality_score", "keyed_dedup"]
+    for name in few + [n for n in samples.table() if n.split("_")[0] in ("extract", "date", "page", "absolute", "article", "numbered", "hierarchy", "violations", "until", "by")]:
         mine, other = catalog.queries()[name](spark, DATA).toPandas(), con.sql(sql[name]).df()
         rows = [sorted(map(repr, x[sorted(x.columns)].astype(str).values.tolist())) for x in (mine, other)]
         assert rows[0] == rows[1], name
@@ -109,3 +112,29 @@ def test_html_blocks(spark):
     page = "<p>This block has more than twenty characters</p><p>short</p>"
     assert one(spark, page, html.blocks) == "This block has more than twenty characters"
     assert one(spark, page, lambda c: html.long_enough(c, ("p",), 10)).startswith("This block")
+
+
+def test_every_arm_fires(spark):
+    """Each classifier gives each of its labels on the sample sentences, by rules written out in SQL."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{DATA}/documents.parquet'")
+    for name, (arms, default) in rules.RULES.items():
+        found = {x for (x,) in con.sql(f"select label from ({samples.table()[f'classify_{name}'][1]})").fetchall()}
+        assert found == {a[0] for a in arms} | {default or "unknown"}, name
+    for name in samples._FIELDS:
+        assert con.sql(samples.table()[f"extract_{name}"][1]).fetchall(), name
+
+
+def test_places_and_sections(spark):
+    rows = spark.range(50).select((49 - F.col("id")).alias("seq"))
+    assert sorted((r.seq, r.place) for r in coll.place(rows, "seq").collect()) == [(i, i + 1) for i in range(50)]
+    one_ = spark.createDataFrame([(1, i) for i in range(3)] + [(2, i) for i in range(3)] + [(3, 0)], "s int, i int")
+    assert [(r.s, r.i) for r in coll.until_target(one_, one_, "s", "i", 4).collect()] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert [r.part for r in coll.until_target(one_, one_, "s", "i", 9).collect()] == [0] * 7 + [1] * 2
+
+
+def test_json_array_is_bounded(spark):
+    df = spark.range(5)
+    assert sinks.json_array(df).first().value.count("id") == 5
+    with pytest.raises(Exception, match="more than 3 rows"):
+        sinks.json_array(df, 3).collect()
