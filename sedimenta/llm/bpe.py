@@ -228,7 +228,7 @@ def _run(docs: DataFrame, path: str, pattern: str, columns: tuple[str, ...]) ->
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row by the rank file at path; special tokens are ordinary text.
 
-    Null and empty texts have no tokens. Repeated rows get a row each; other columns are ignored. The broadcast is the
+    Null and empty texts have no tokens. Repeated rows get a row each, an empty table none; other columns are ignored. The broadcast is the
     vocabulary, whose size is fixed.
     """
     return _run(docs, path, pattern, ("n_tokens", "ids"))

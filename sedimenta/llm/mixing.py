@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     taken counts words, repeats included; the sum over a source is its target, rounded. positions has one
     for each copy, the one taken in part last (empty if nothing is taken); position is the first, null if nothing is taken. Order in a source: md5 of doc_id as text (null: of ""), then size, so
     reruns agree; repeated rows have a turn each. A null source is a source of its own, last. Null or blank texts have size 0
-    and are never taken. Sources' running sums are added up over hash ranges, so that no task holds a source.
+    and are never taken. An empty table gives no rows; columns beside doc_id, text and source are ignored. Sources' running sums are added up over hash ranges, so that no task holds a source.
     """
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import PAIRWISE_MEMBERS, components, cut, link, ship, text_or_empty, within
 
 BITS = 64
+#: In a plan, an expected candidate pair costs as much as so many filed rows.
+PAIR_COST = 8
 #: Sketches of a text and the minima in each: at a Jaccard of 0.8, 1 - (1 - 0.8 ** 6) ** 16 = 0.992 of the pairs share one.
 SKETCHES, ROWS = 16, 6
 
@@ -118,7 +120,8 @@ def _within(agree: list[float], most: int) -> list[float]:
 def plan(counts: np.ndarray, n: int, tau: int) -> list[list[int]]:
     """The masks of the cheapest plan: for each kept partition, its bits less each choice of as many bits as its threshold.
 
-    The cost of a partition at a threshold is its filed rows plus its expected candidate pairs.
+    The cost of a partition at a threshold is its filed rows plus PAIR_COST for each expected candidate pair, so pairs stay
+    in proportion to rows: keys grow longer, and more of them are filed, as n grows.
     """
     p = counts.diagonal() / max(n, 1)
     agree = p * p + (1 - p) * (1 - p)
@@ -126,7 +129,7 @@ def plan(counts: np.ndarray, n: int, tau: int) -> list[list[int]]:
     for parts in range(1, tau + 2):
         groups = _groups(counts, n, parts)
         total = tau - parts + 1
-        cost = [[0.0] + [n * sum(1 for _ in combinations(g, t)) + n * n / 2 * w for t, w in enumerate(_within([agree[b] for b in g], total + parts - 1))] for g in groups]
+        cost = [[0.0] + [n * sum(1 for _ in combinations(g, t)) + PAIR_COST * n * n / 2 * w for t, w in enumerate(_within([agree[b] for b in g], total + parts - 1))] for g in groups]
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # sum of (threshold + 1) so far
         for own in cost:
             step: dict[int, tuple[float, tuple]] = {}
@@ -201,8 +204,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, tau: int = 2) -> DataFrame:
 
     Returns (doc_id, fp long, component_id), a row for each input row; component_id is the smallest doc_id that is
     reachable over links. Null and empty texts have fingerprint 0 and link like any other. Rows may repeat: each
-    gets its row. A null doc_id takes part but never names a component that has another id. Other columns are
-    ignored. Work after the fingerprints is on distinct fingerprints, so exact copies cost one node.
+    gets its row. A null doc_id takes part but never names a component that has another id. An empty table gives no
+    rows. Other columns are ignored. Work after the fingerprints is on distinct fingerprints, so exact copies cost one node.
     """
     prints = cut(fingerprints(docs, width), "fingerprints")
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")

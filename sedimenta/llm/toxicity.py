@@ -175,8 +175,8 @@ class Model:
         return 0.99 * np.interp(f, self.knots, self.shares) + 0.01 * plain if len(self.knots) else plain
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """Fit on documents with a toxic label; rows bounds the sample (a documented bound; all if fewer).
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, entries: int = LEXICON) -> Model:
+    """Fit on documents with a toxic label; rows bounds the sample (a documented bound; all if fewer), entries the lexicon learned from it.
 
     Labels are drawn first and are few, so they are broadcast and texts do not move. Of repeated labels the largest
     counts. Without labelled rows every score is the same.
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     n0, n1 = size.get(0, 0), size.get(1, 0)
     counted = found.groupBy("kind", "word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
-    best = counted.where((F.col("t") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).orderBy((-odds * F.log1p("t")).asc(), "kind", "word").limit(LEXICON).collect()
+    best = counted.where((F.col("t") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).orderBy((-odds * F.log1p("t")).asc(), "kind", "word").limit(entries).collect()
     lexicon, stems = (frozenset(r.word for r in best if r.kind == k) for k in (0, 1))
 
     fitted = texts.where("fold >= 2").mapInArrow(partial(_features, lexicon=lexicon, stems=stems), "x array<double>, toxic int, fold int").toArrow()
@@ -214,7 +214,10 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row, from its whole text; null and empty texts have the score of no features."""
+    """(doc_id, score) of each row, from its whole text; null and empty texts have the score of no features.
+
+    Repeated rows get a row each, an empty table none. Other columns are ignored.
+    """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()

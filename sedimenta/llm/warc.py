@@ -41,7 +41,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compressio
     Of records with equal payloads of at least least_bytes, that with the largest page_id is a response (so are rows
     that repeat its id) and the others revisit it; smaller ones are all responses. A null html is an empty payload, a null
     url is left out, a null page_id is written as none and is a response only among its own kind. Archives are compressed
-    as whole files, which readers then take in one piece, or plain ("none").
+    as whole files, which readers then take in one piece, or plain ("none"). An empty table gives an archive without records.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))

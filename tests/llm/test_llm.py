@@ -468,3 +468,91 @@ def test_shards_hold_whole_records(spark, odd, tmp_path):
     assert {(x.doc_id, x.size, x.text_crc32) for x in got} == {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows}
     at = common.scratch_root(spark).removeprefix("file://")
     assert any(f.read_bytes() for f in __import__("pathlib").Path(at).glob("sedimenta-shards-*/shard=*/*.parquet"))
+
+
+def test_line_recall_of_words_replaced(spark):
+    """Linked pairs against every pair of an edit similarity of 0.8 or more, lines with up to two words replaced or a letter changed."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    rows = []
+    for base in range(60):
+        words = [word() for _ in range(rnd.randint(6, 40))]
+        for copy in range(4):
+            own = list(words)
+            for at in rnd.sample(range(len(own)), rnd.randint(0, 2)):
+                own[at] = word()
+            line = " ".join(own)
+            rows.append((len(rows), base, typo(rnd, line, 1) if copy == 3 else line))
+    df = spark.createDataFrame(rows, "doc_id long, base long, text string")
+    occurring = common.cut(lines.occurrences(df))
+    own = {r.id: r.doc_id for r in occurring.collect()}
+    labels = {own[r.id]: r.root for r in lines.similar_lines(occurring, common.cut(lines.line_prints(occurring))).collect()}
+    d, e = df.alias("d"), df.alias("e")
+    near = d.join(e, F.expr("d.base = e.base and d.doc_id < e.doc_id")).where("levenshtein(d.text, e.text) <= 0.2 * greatest(length(d.text), length(e.text))")
+    pairs = [(r.a, r.b) for r in near.select(F.col("d.doc_id").alias("a"), F.col("e.doc_id").alias("b")).collect()]
+    found = sum(a in labels and labels[a] == labels.get(b) for a, b in pairs)
+    print(len(pairs), found / len(pairs))
+    assert len(pairs) > 200 and found >= 0.9 * len(pairs)
+    by_root = {}
+    for r, _, text in rows:
+        by_root.setdefault(labels.get(r, -r), set()).add(rows[r][1])
+    assert all(len(v) == 1 for v in by_root.values())
+
+
+def test_bpe_query_equals_tiktoken(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    tokens = bpe.read_ranks(P.path(RANKS))
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rnd = random.Random(22)
+    texts = [None, "", "a" * 30_000, "word, " * 40_000, "日本語" * 5_000, "<|endoftext|> x", *["".join(rnd.choice("aé 1!\n中ß") for _ in range(300)) for _ in range(20)]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in bpe.op1_byte_bpe(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        ids = other.encode_ordinary(text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on its own input against brute force, with nulls, empty texts and repeated rows."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(23)
+    en = "the of and to in is that it was for on are as with his they at be this from have or by one had".split()
+    made = lambda n: " ".join(rnd.choice(en) if rnd.random() < 0.5 else "".join(rnd.choice("abcdefghilmnoprst") for _ in range(rnd.randint(4, 9))) for _ in range(n))
+    shared, texts = made(20), []
+    for k in range(30):
+        body = made(120)
+        texts.append(f"{body}\n{shared}\n{made(9)}")
+        if k % 3 == 0:
+            words = body.split()
+            words[40:42] = ["changed", "words"]
+            texts.append(" ".join(words))
+    texts += ["12 34 !?", "", None, texts[0]]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, kind)
+    told = p.identify_language(spark, docs, "")
+    assert told.columns == list(p.COLUMNS) and told.count() == len(rows) - 3
+    lined = sorted(p.dedup_lines(spark, told, "").collect(), key=lambda r: r.doc_id)
+    kept = [line for r in lined for line in r.text.split("\n")]
+    assert kept.count(shared) == 1 and len(kept) == len(set(kept)) and all(r.n_chars == len(r.text) for r in lined)
+    assert {line for t in texts if t for line in t.split("\n") if any(c.isalpha() for c in line)} - set(kept) <= {t for t in texts if t and "changed words" in t}
+    sets = [set(simhash.shingle_hashes(t or "", p.SHINGLE).tolist()) for _, t, *_ in rows]
+    same = brute_components(range(len(rows)), lambda i, j: not (sets[i] or sets[j]) or len(sets[i] & sets[j]) >= p.SIMILARITY * len(sets[i] | sets[j]))
+    near = p.dedup_documents(spark, docs, "").collect()
+    assert len(near) == len(set(same))
+    mixed = p.mix_sources(spark, docs.where("text is not null"), "")
+    assert mixed.columns == list(p.COLUMNS)
+    words = lambda t: len((t or "").split())
+    total = sum(words(t) for _, t, *_ in rows)
+    assert abs(sum(words(r.text) for r in mixed.collect()) - 1.5 * total) < 0.15 * total
+    for r in p.tokenise(spark, docs, "").collect():
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == r.n_tokens
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, "").count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = p.run(spark, str(tmp_path)).collect()
+    assert out and all(r.n_tokens > 0 for r in out)
