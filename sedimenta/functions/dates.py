@@ -19,12 +19,14 @@ DIALECTS = {
 
 
 def _day(text: Column, pattern: str, y: int, m: int, d: int, exact_months: bool) -> Column:
-    year, month, day = (F.regexp_extract(text, pattern, g) for g in (y, m, d))
+    """The date of the first match: the match is found once, and taken apart in its own few characters."""
+    found = F.regexp_extract(text, pattern, 0)
+    year, month, day = (F.regexp_extract(found, pattern, g) for g in (y, m, d))
     if _SHORT[:3] in pattern:
         names = "".join(m[:3].title() for m in MONTHS)
         at = F.instr(F.lit(names if exact_months else names.lower()), F.substring(month if exact_months else F.lower(month), 1, 3))
         month = F.when(at > 0, (at + 2).cast("int") / 3).cast("int").cast("string")
-    return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
+    return F.when(found != "", F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
 
 
 def find_date(text: Column, dialect: str = "five", otherwise: Column | None = None) -> Column:

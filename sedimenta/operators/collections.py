@@ -80,8 +80,8 @@ def until_target(sections: DataFrame, more: DataFrame, section: str, order: str,
     sizes = sections.groupBy(section).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(F.col(section).alias("_s"), (F.sum("_n").over(W.orderBy(section)) - F.col("_n")).alias("_before"))
     taken = sections.join(before, sections[section] == before["_s"]).where(F.col("_before") < target).drop("_s", "_before")
-    short = sections.agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") < target)
-    every = taken.withColumn("part", F.lit(0)).unionByName(more.join(short).drop("_all").withColumn("part", F.lit(1)))
+    all_ = sections.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    every = taken.withColumn("part", F.lit(0)).unionByName(more.where(all_ < target).withColumn("part", F.lit(1)))
     return every.orderBy("part", section, order).limit(target)
 
 

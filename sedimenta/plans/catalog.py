@@ -45,6 +45,13 @@ def _minimum(s, d):
     return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_length"))
 
 
+def _followed(s, d):
+    """A link list in which addresses repeat and some lead nowhere, then the pages."""
+    pages = _pages(s, d)
+    links = pages.where("page_id % 3 <> 0").select("url")
+    return coll.follow_links(links.unionByName(links).unionByName(links.select(F.concat("url", F.lit("#gone")).alias("url"))), pages, "url").select("page_id", "url")
+
+
 def _truncated(cut, m=300):
     return lambda s, d: _docs(s, d).select("doc_id", F.md5(getattr(text, cut)(_T(), m)).alias("cut_md5"), (F.length("text") > m).alias("is_truncated"))
 
@@ -62,10 +69,13 @@ _PLAIN = f"trim(regexp_replace(regexp_replace({_CLEAN}, '<[^>]*>', ' ', 'g'), '\
 
 
 def _quality(s, d):
-    docs = _docs(s, d).join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left")
-    n = F.length("text")
-    score = quality.quality_score(quality.steps(n, [(1000, 1.0), (200, 0.7), (20, 0.3)], 0.0), F.coalesce(F.col("quality"), F.lit(0)) * 1.0, F.lit(0.5), F.when(text.keyword_any(_T(), GAZETTEER), 1.0).otherwise(0.0), F.lit(1.0))
-    return docs.select("doc_id", F.round(score, 6).alias("quality_score"))
+    """Length from the text, source from its name, sentiment from marks, location from the gazetteer, recency from the id."""
+    n, low = F.length("text"), F.coalesce(F.regexp_count("text", F.lit("[!?]")), F.lit(0))
+    length = quality.steps(n, [(1000, 1.0), (200, 0.7), (20, 0.3)], 0.0)
+    source = quality.steps(F.length("source"), [(5, 1.0), (4, 0.8)], 0.5)
+    sentiment, location = quality.steps(-low, [(0, 1.0), (-3, 0.6)], 0.2), F.when(text.keyword_any(_T(), GAZETTEER), 1.0).otherwise(0.0)
+    recency = quality.steps(F.col("doc_id") % 100, [(66, 1.0), (33, 0.5)], 0.1)
+    return _docs(s, d).select("doc_id", F.round(quality.quality_score(length, source, sentiment, location, recency), 6).alias("quality_score"))
 
 
 def _nested(s, d):
@@ -128,8 +138,10 @@ def _table():
     q["weighted_limit"] = (lambda s, d: coll.weighted_limit(_docs(s, d), "lang", "doc_id", {"en": 0.4, "fr": 0.35, "de": 0.15, "es": 0.1}).select("lang", "doc_id"), "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= floor(20 * CASE lang WHEN 'en' THEN 0.4::DOUBLE WHEN 'fr' THEN 0.35::DOUBLE WHEN 'de' THEN 0.15::DOUBLE WHEN 'es' THEN 0.1::DOUBLE ELSE 0 END)")
     q["early_stop"] = (_early, "SELECT section, conv_id, n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY section ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT conv_id, conv_id % 5 AS section, count(*) AS n FROM conversations GROUP BY conv_id)) WHERE b < 50")
     q["nested_children"] = (_nested, "SELECT conv_id, count(*) AS n_children, arg_min(role, turn) AS first_role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 10 GROUP BY conv_id")
-    q["quality_score"] = (_quality, f"SELECT d.doc_id, round({_RATIO} * 0.2::DOUBLE + coalesce(quality, 0) * 0.3::DOUBLE + 0.1::DOUBLE + CASE WHEN {rules.any_sql('text', GAZETTEER)} THEN 0.15::DOUBLE ELSE 0 END + 0.15::DOUBLE, 6) AS quality_score FROM documents d LEFT JOIN labels USING (doc_id)")
-    q["follow_links"] = (lambda s, d: coll.follow_links(_docs(s, d).select("doc_id", F.col("doc_id").alias("page_id")), _pages(s, d), "page_id").select("page_id", "url"), "SELECT page_id, url FROM pages WHERE page_id IN (SELECT doc_id FROM documents)")
+    q["quality_score"] = (_quality, f"""SELECT doc_id, round({_RATIO} * 0.2::DOUBLE + CASE WHEN length(source) >= 5 THEN 1.0 WHEN length(source) >= 4 THEN 0.8 ELSE 0.5 END * 0.3::DOUBLE
+      + CASE WHEN n = 0 THEN 1.0 WHEN n <= 3 THEN 0.6 ELSE 0.2 END * 0.2::DOUBLE + CASE WHEN {rules.any_sql('text', GAZETTEER)} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 100 >= 66 THEN 1.0 WHEN doc_id % 100 >= 33 THEN 0.5 ELSE 0.1 END * 0.15::DOUBLE, 6) AS quality_score
+      FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[!?]')), 0) AS n FROM documents)""")
+    q["follow_links"] = (_followed, "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 <> 0)")
     return q | samples.table()
 
 
