@@ -15,7 +15,7 @@ SENTENCES = [
     "Confirmed list sites of the GLS programme: 1,200 residential units and 3,500 sqm of commercial GFA, with 250 hotel rooms and 480 EC units for 1H2025",
     "Tender launch at Punggol Road: tender closes on 15 March 2025, 99 years, 12,500 sq ft of state property, 3+2 years",
     "Tender award for a site tender, 60+30 years lease until 2040", "Quarterly statistics show a price index of 187.5, up 1.5%, in Q3 2024", "Flash estimates: price update of -0.4%",
-    "Private residential data", "Commercial space for business, shop and office", "Past sites and current GLS sites", "Master plan for urban planning", "Cooling measures and a policy change on ABSD and SSD stamp duty",
+    "Private residential data", "Commercial space for business, shop and office", "Past sites", "Current GLS sites", "Master plan for urban planning", "Cooling measures and a policy change on ABSD and SSD stamp duty",
     "Build to order exercise: ballot of 4,000 flats", "Fresh start housing grant of $35,000 or $1,000, subsidy for families", "Enhanced grant of $80,000 for first-time buyers", "Proximity housing is near", "Resale transaction and selling", "Rental scheme",
     "Executive condominium in Tengah", "Community event for 300 residents and 20 households", "Land sales programme supply", "Upgrading, HIP and EASE improvement", "Compulsory acquisition of 3.5 hectares in Tampines Town with compensation by 2027",
     "Land betterment charge LBC revised", "Market data and statistics", "Private housing of 1,500 new units, completion expected in 2029", "Industrial area", "Costs are rising: 12.5% increase in steel, cement and labour costs from a supply chain under inflation",
@@ -23,6 +23,7 @@ SENTENCES = [
     "Ang Mo Hawker Centre, Bedok Food Court and Pasir Panjang Wholesale Centre in Jurong Region", "Agricultural land parcel for farming in Lim Chu Kang and Sungei Tengah", "Jurong Fishery Port lease extension to 2031", "Land allocation by licensing SFA_2024_7 and SFA 2023 0123",
     "TDSR and LTV framework for a property loan, MSR too", "Bank and finance companies are prudent about risk; effective from 9 May 2024", "Lending by a bank, effective 31 February 2024", "Housing loan investor in private property", "Block 5 SG(238841)",
     "on 31 Feb 2024 and 2024-03-05", "on 2024-1-5", "on 15 jan 2024", "on 5/3/2024", "on 05-03-2024", "on 2024-01-05 or 1/2", "on Jan 5, 2024", "on 7 March 2023", "on 7 march 2023 and 3 Apr 2022", "on 12 September 2021 and 1999-12-31", "on 99/99/2024",
+    "BTO flats", "Lease extension", "Licensing of stalls", "Tiong Hawker Centre", "Cooling of the market",
 ]
 _ROWS = ", ".join(f"({-i - 1}, '{x}')" for i, x in enumerate(SENTENCES))
 _FEW = f"(SELECT * FROM (VALUES {_ROWS}) v(doc_id, text))"
