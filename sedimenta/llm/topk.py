@@ -23,7 +23,7 @@ from sedimenta.llm.common import cut, ship
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 1024
 #: Points of a leaf at most, and children of a node at most.
-LEAF = 48
+LEAF = 256
 NET = 12
 
 

@@ -195,7 +195,8 @@ def test_top_k():
         assert list(zip(-s.scores[i], s.found[i], strict=True)) == want
 
 
-def test_top_k_prunes_and_keeps_ids(spark):
+def test_top_k_prunes_and_keeps_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAF", 48)
     rnd = np.random.RandomState(15)
     x = np.floor(64 * (rnd.randn(40, 24)[rnd.randint(0, 40, 6000)] + 0.05 * rnd.randn(6000, 24)))
     ids = np.arange(6000, dtype=np.int64)
