@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sedimenta.llm import bpe, hnsw, language, lines, mixing, sharding, simhash, topk, toxicity, warc
+from sedimenta.llm import align, bpe, exact, hnsw, kmeans, language, lines, mixing, sharding, simhash, topk, toxicity, warc
 
 
 def queries():
@@ -19,6 +19,9 @@ def queries():
         "op8_language_id": language.op8_language_id,
         "op9_embedding_dedup": hnsw.op9_embedding_dedup,
         "op10_source_mixing": mixing.op10_source_mixing,
+        "op11_token_alignment": align.op11_token_alignment,
+        "op12_exact_dedup": exact.op12_exact_dedup,
+        "op13_kmeans": kmeans.op13_kmeans,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql():
         "op7_warc": warc.OP7_SQL,
         "op9_embedding_dedup": hnsw.OP9_SQL,
         "op10_source_mixing": mixing.OP10_SQL,
+        "op12_exact_dedup": exact.OP12_SQL,
+        "op13_kmeans": kmeans.OP13_SQL,
     }
