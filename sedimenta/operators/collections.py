@@ -31,18 +31,6 @@ def filter_then_limit(df: DataFrame, group: list[str], seq: str, n: int | Column
     return rows.where(F.col("_rn") <= n).drop("_rn")
 
 
-def weighted_limit(df: DataFrame, group: str, seq: str, weights: dict[str, float], budget: int = 20) -> DataFrame:
-    """floor(budget x weight) rows of each group; a group without a weight gets none."""
-    share = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col(group))
-    return filter_then_limit(df, [group], seq, F.floor(F.coalesce(share, F.lit(0.0)) * budget), F.lit(True))
-
-
-def until_enough(df: DataFrame, group: str, seq: str, size: str, target: int) -> DataFrame:
-    """Rows (threads) while fewer than target were gathered before them; the last may overshoot."""
-    before = F.coalesce(F.sum(size).over(W.partitionBy(group).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_before", before).where(F.col("_before") < target).drop("_before")
-
-
 def until_empty(df: DataFrame, group: str, page: str, size: str) -> DataFrame:
     """Pages before a group's first empty one."""
     stop = F.min(F.when(F.col(size) == 0, F.col(page))).over(W.partitionBy(group))

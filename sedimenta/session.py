@@ -1,6 +1,10 @@
-"""The session the library expects."""
+"""The session the library expects, and what long jobs need of it: code on the executors, and checkpoints."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -8,3 +12,28 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     b = b.master(master) if master else b
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.sql.adaptive.enabled": "true"}
     return b.config(map=base | conf).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the folder that spark.checkpoint.dir names; a temporary one in local mode where it names none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="sedimenta-checkpoints-"))
+    return df.checkpoint()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sedimenta_code", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sedimenta-package-")) / "sedimenta_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._sedimenta_code = True
