@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import dates, html, text
 from sedimenta.operators import collections as coll
 from sedimenta.operators import grouped, quality, rules
-from sedimenta.plans import pages, samples, scale
+from sedimenta.plans import pages, records, samples, scale
 
 VOCABULARY = ["license", "apache", "rent", "ec", "ease", "token", "reserved", "lease", "data", "condo"]
 TIERS = [("high", ["license", "apache"]), ("medium", ["reserved", "token"]), ("low", ["rent", "ease"])]
@@ -142,7 +142,7 @@ def _table():
       + CASE WHEN n = 0 THEN 1.0 WHEN n <= 3 THEN 0.6 ELSE 0.2 END * 0.2::DOUBLE + CASE WHEN {rules.any_sql('text', GAZETTEER)} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 100 >= 66 THEN 1.0 WHEN doc_id % 100 >= 33 THEN 0.5 ELSE 0.1 END * 0.15::DOUBLE, 6) AS quality_score
       FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[!?]')), 0) AS n FROM documents)""")
     q["follow_links"] = (_followed, "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 <> 0)")
-    return q | samples.table() | pages.table() | scale.table()
+    return q | samples.table() | pages.table() | scale.table() | records.table()
 
 
 def queries():

@@ -1,5 +1,7 @@
 """The session the library expects, and what long jobs need of it: code on the executors, and checkpoints."""
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,14 +16,24 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.config(map=base | conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in local mode, where it names none, a temporary one, which goes with the session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="sedimenta-shared-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+    return root
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the folder that spark.checkpoint.dir names; a temporary one in local mode where it names none."""
+    """df, computed once, written to the shared folder and read from there."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="sedimenta-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

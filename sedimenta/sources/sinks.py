@@ -44,9 +44,8 @@ def envelope(df: DataFrame, path: str, manifest: DataFrame) -> None:
 def statistics(df: DataFrame, path: str, key: str, text: str = "text") -> DataFrame:
     """Write counts and text lengths by key and in total, replacing what was there; returns what was written."""
     stats = df.rollup(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(text)).alias("avg_length"), F.sum(F.length(text)).alias("total_length"))
-    stats = stats.coalesce(1)
-    stats.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return stats
+    stats.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return df.sparkSession.read.schema(stats.schema).json(path)
 
 
 def report(df: DataFrame, rows: int = 20) -> None:
