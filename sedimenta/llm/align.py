@@ -86,18 +86,35 @@ class Tokenizers:
         return self.cut.split(whole) if self.cut else [whole]
 
     def learn(self, segments: set[str]) -> None:
+        """Remember the tokens of new segments; those that begin with one space and end with none are encoded as one text."""
         if len(self.seen) > REMEMBERED:
             self.seen, self.bad = {}, set()
         new = [s for s in segments if s not in self.seen]
-        if not new:
-            return
-        a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in new], num_threads=1)
-        for s, *own in zip(new, a, b, strict=True):
+        plain = [s for s in new if not s[1:2].isspace() and not s[-1].isspace()] if self.cut else []
+        if plain and not self._together(plain):
+            plain = []
+        done = set(plain)
+        for s in [s for s in new if s not in done]:
+            own = [self.a.encode(s, add_special_tokens=False).ids, self.b.encode(s[1:])]
             self.seen[s] = tuple(np.array(ids, kind).tobytes() for ids, kind in zip(own, self.kinds, strict=True))
             if any(b"".join([t[i] for i in ids]) != s.encode() for t, ids in zip(self.tokens, own, strict=True)):
                 self.bad.add(s)
 
+    def _together(self, segments: list[str]) -> bool:
+        """Encode segments as one text and cut its tokens at their ends; False if either side's bytes differ from the text."""
+        text = "".join(segments)
+        whole, ends = text.encode(), np.cumsum([len(s.encode()) for s in segments])
+        sides = []
+        for side, ids in enumerate((self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]))):
+            if b"".join(map(self.tokens[side].__getitem__, ids)) != whole:
+                return False
+            own = np.array(ids, self.kinds[side])
+            at = np.searchsorted(np.cumsum(self.sizes[side][own]), ends, side="right") * self.kinds[side].itemsize
+            packed, cuts = own.tobytes(), at.tolist()
+            sides.append([packed[i:j] for i, j in zip([0, *cuts], cuts, strict=False)])
+        self.seen.update(zip(segments, zip(*sides, strict=True), strict=True))
+        return True
+
     def encode(self, text: str, segments: Sequence[str]) -> list[np.ndarray]:
         """The ids of both sides; none if either side's bytes differ from a space and the text."""
         both = zip(*[self.seen[s] for s in segments], strict=True)
@@ -114,27 +131,41 @@ def _tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
+def _lots(docs: list[tuple], most: int = 200_000) -> Iterator[list[tuple]]:
+    """The rows in lots of so many characters of text; a longer text is a lot of its own."""
+    lot, held = [], 0
+    for row in docs:
+        n = len(row[2] or "")
+        if lot and held + n > most:
+            yield lot
+            lot, held = [], 0
+        lot.append(row)
+        held += n
+    if lot:
+        yield lot
+
+
 def _events(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     both = _tokenizers(a_path, b_path)
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("side", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary())])
     for batch in batches:
         rows: list[tuple] = []
         held = 0
-        for uid, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")], strict=True):
-            ids: list[np.ndarray] = []
-            if text:
-                segments = both.segments(text)
-                both.learn(set(segments))
-                ids = both.encode(text, segments)
-            if not any(len(own) for own in ids):
-                rows.append((uid, doc_id, 0, 0, b"", b""))
-            for side, own in enumerate(ids):
-                sizes = both.sizes[side][own]
-                ends = np.cumsum(sizes)
-                for i in range(0, len(own), BLOCK):
-                    at = int(ends[i - 1]) if i else 0
-                    rows.append((uid, doc_id, at, side, own[i : i + BLOCK].tobytes(), sizes[i : i + BLOCK].astype(both.size_kinds[side]).tobytes()))
-                    held += len(own[i : i + BLOCK])
+        docs = list(zip(*[batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")], strict=True))
+        for some in _lots(docs):
+            cut_ = [both.segments(text) if text else [] for _, _, text in some]
+            both.learn({s for own in cut_ for s in own})
+            for (uid, doc_id, text), segments in zip(some, cut_, strict=True):
+                ids = both.encode(text, segments) if text else []
+                if not any(len(own) for own in ids):
+                    rows.append((uid, doc_id, 0, 0, b"", b""))
+                for side, own in enumerate(ids):
+                    sizes = both.sizes[side][own]
+                    ends = np.cumsum(sizes)
+                    for i in range(0, len(own), BLOCK):
+                        at = int(ends[i - 1]) if i else 0
+                        rows.append((uid, doc_id, at, side, own[i : i + BLOCK].tobytes(), sizes[i : i + BLOCK].astype(both.size_kinds[side]).tobytes()))
+                        held += len(own[i : i + BLOCK])
             if held > FLUSH:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
                 rows, held = [], 0
