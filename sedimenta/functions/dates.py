@@ -29,13 +29,27 @@ def _day(text: Column, pattern: str, y: int, m: int, d: int, exact_months: bool)
     return F.when(found != "", F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"))
 
 
+#: Whatever any pattern can match lies in a run of digits, slashes and dashes, with month names between digits.
+_REGION = rf"(?i)\d(?:[\d/-]|\s+(?:{_LONG}|{_SHORT})\s+(?=\d))*"
+
+
 def find_date(text: Column, dialect: str = "five", otherwise: Column | None = None) -> Column:
-    """The first date by the dialect's pattern order; an impossible day goes on to the next pattern."""
+    """The first date by the dialect's pattern order; an impossible day goes on to the next pattern.
+
+    The text is scanned once for places where a date can be; the patterns are matched in these few characters.
+    """
     patterns, case, exact = DIALECTS[dialect]
-    days = [_day(text, p if case else f"(?i){p}", y, m, d, exact) for p, y, m, d in patterns]
-    if dialect == "titled":  # a slash anywhere makes year-first dates read as day-first, which they are not
-        days[1] = F.when(~F.contains(text, F.lit("/")), days[1])
-    return F.coalesce(*days, *([otherwise] if otherwise is not None else []))
+    slashed = F.contains(text, F.lit("/"))
+
+    def day(places: Column) -> Column:
+        days = [_day(places, p if case else f"(?i){p}", y, m, d, exact) for p, y, m, d in patterns]
+        if dialect == "titled":  # a slash anywhere makes year-first dates read as day-first, which they are not
+            days[1] = F.when(~slashed, days[1])
+        return F.coalesce(*days)
+
+    places = F.array_join(F.regexp_extract_all(text, F.lit(_REGION), F.lit(0)), "|")
+    found = F.get(F.transform(F.array(places), day), 0)
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def parse_formats(text: Column, otherwise: Column | None = None) -> Column:
@@ -81,7 +95,15 @@ def from_epoch(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
 
 
+# Zones that RFC 822 names, in minutes from UTC.
+ZONES = {"EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+
+
 def feed_time(stamp: Column) -> Column:
-    """A feed's time (RFC 822) as wall clock with the label +08:00; null if it is none."""
-    parsed = F.try_to_timestamp(F.regexp_extract(stamp, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
+    """A feed's time (RFC 822) in UTC, with the label +08:00 put to it; null if it is none. Unknown and missing zones count as UTC."""
+    p = r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2})(?:\s+([+-]\d{4}|[A-Z]{1,4}))?"
+    wall, zone = F.try_to_timestamp(F.regexp_extract(stamp, p, 1), F.lit("d MMM yyyy HH:mm:ss")), F.regexp_extract(stamp, p, 2)
+    digits = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone)
+    minutes = F.coalesce(F.when(zone.startswith("-"), -digits).when(zone.startswith("+"), digits), named, F.lit(0))
+    return F.date_format(F.timestamp_add("MINUTE", -minutes, wall), "yyyy-MM-dd'T'HH:mm:ss'+08:00'")

@@ -159,9 +159,9 @@ def extract(text: Column, field: str) -> Column:
     return found if kind == "string" else number(found, kind)
 
 
-def release_id(text: Column, agency: str, sep: str = r"[_\s]*", pad: int = 0) -> Column:
+def release_id(text: Column, agency: str, sep: str = r"[_\s]*", pad: int = 0, any_case: bool = True) -> Column:
     """AGENCY_year_number; the number padded with zeros, never cut."""
-    p = rf"(?i){agency}{sep}(\d{{4}}){sep}(\d+)"
+    p = rf"{'(?i)' if any_case else ''}{agency}{sep}(\d{{4}}){sep}(\d+)"
     n = group(text, p, 2)
     n = F.when(F.length(n) < pad, F.lpad(n, pad, "0")).otherwise(n) if pad else n
     return F.concat(F.lit(f"{agency}_"), group(text, p, 1), F.lit("_"), n)

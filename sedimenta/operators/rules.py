@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import extract as text_field
-from sedimenta.functions.text import found_terms, keyword_any, release_id, reporting_period
+from sedimenta.functions.text import FACILITIES, NAMED_PLACES, REGIONS, every, found_terms, keyword_any, release_id, reporting_period
 
 # Labels and terms of the classifiers.
 RULES: dict[str, tuple[list[tuple], str | None]] = {
@@ -119,14 +119,44 @@ def field_groups(text: Column) -> Column:
     return F.struct(*[keyword_any(text, terms).alias(name) for name, terms in FIELD_GROUPS.items()])
 
 
+def bca_fields(text: Column, category: Column) -> Column:
+    """The fields that a record's category calls for, as a struct with all of them; those of other categories, and those not found, are null."""
+    is_ = lambda *kinds: category.isin(*kinds)
+    release, data, output, rule = "media_releases", "construction_data", "productivity_reports", "regulatory_updates"
+    types = {release: ("industry_announcement", "media_release"), data: ("market_data", "price_index"), output: ("industry_metrics", "productivity_index"), rule: ("regulatory_update", "building_standards")}
+    fields = {
+        "policy_type": F.coalesce(*[F.when(category == k, v[0]) for k, v in types.items()]), "policy_subtype": F.coalesce(*[F.when(category == k, v[1]) for k, v in types.items()]),
+        "press_release_id": F.when(is_(release), release_id(text, "BCA")), "price_change_percent": F.when(is_(release), text_field(text, "price_change_any")), "key_materials": F.when(is_(release), found_terms(text, MATERIALS)),
+        "cost_drivers": F.when(is_(release), found_terms(text, COST_DRIVERS)), "industry_impact": F.when(is_(release), found_terms(text, IMPACTS)),
+        "reporting_period": F.when(is_(data), reporting_period(text)), "index_value": F.when(is_(data), text_field(text, "index_value")), "market_outlook": F.when(is_(data), classify(text, "bca_outlook")),
+        "overall_productivity": F.when(is_(output), text_field(text, "overall_productivity")), "hdb_productivity": F.when(is_(output), text_field(text, "hdb_productivity")), "private_residential_productivity": F.when(is_(output), text_field(text, "private_productivity")),
+        "productivity_trend": F.when(is_(output), classify(text, "bca_trend")), "efficiency_factors": F.when(is_(output), found_terms(text, EFFICIENCY)),
+        "green_building_program": F.when(is_(rule) & keyword_any(text, ["green mark"]), "green_mark"), "sustainability_program": F.when(is_(rule) & keyword_any(text, ["zero energy"]), "zero_energy_building"), "compliance_type": F.when(is_(rule), classify(text, "bca_compliance")),
+    }
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
 def by_category(text: Column, category: Column) -> Column:
-    """The fields that a record's category calls for, as JSON; null for any other category."""
-    data = F.struct(text_field(text, "index_value").alias("index_value"), reporting_period(text).alias("reporting_period"), classify(text, "bca_outlook").alias("market_outlook"))
-    release = F.struct(release_id(text, "BCA").alias("press_release_id"), text_field(text, "price_change_any").alias("price_change_percent"), found_terms(text, MATERIALS).alias("key_materials"))
-    output = F.struct(classify(text, "bca_trend").alias("productivity_trend"), found_terms(text, EFFICIENCY).alias("efficiency_factors"))
-    rule = F.struct(classify(text, "bca_compliance").alias("compliance_type"), F.when(keyword_any(text, ["green mark"]), "green_mark").alias("green_building_program"))
-    arms = {"media_releases": release, "construction_data": data, "productivity_reports": output, "regulatory_updates": rule}
-    return F.coalesce(*[F.when(category == k, F.to_json(v)) for k, v in arms.items()])
+    """The fields of bca_fields as JSON without those that are null; null for any other category."""
+    own = bca_fields(text, category)
+    return F.when(own["policy_type"].isNotNull(), F.to_json(own))
+
+
+def sfa_fields(text: Column, newsroom: Column) -> Column:
+    """Category, the fields of newsroom records, and those of each group whose condition holds; lists are sorted sets.
+
+    A group's fields are null where it doesn't apply; the group's own flag tells that from a field that was not found.
+    """
+    g = field_groups(text)
+    on = lambda group, value: F.when(g[group], value)
+    fields = {
+        "category": classify(text, "sfa_category"), "press_release_id": F.when(newsroom, release_id(text, "SFA", r"[_\s]", 3, any_case=False)), "policy_type": F.when(newsroom, classify(text, "sfa_policy_type")), "policy_subtype": F.when(newsroom, classify(text, "sfa_policy_subtype")),
+        "infrastructure": g["infrastructure"], "facilities": on("infrastructure", every(text, FACILITIES)), "lease_duration": on("infrastructure", text_field(text, "lease_until")), "infrastructure_type": on("infrastructure", F.lit("food_distribution")),
+        "regional_impact": on("infrastructure", every(text, REGIONS)), "supply_chain_security": on("infrastructure", F.lit(True)), "long_term_commitment": on("infrastructure", F.lit(True)),
+        "land": g["land"], "locations": on("land", every(text, NAMED_PLACES)), "land_use": on("land", F.lit("agricultural")), "food_security": on("land", F.lit(True)), "rural_development": on("land", F.lit(True)), "regional_planning": on("land", F.lit(True)),
+        "amenity": g["amenity"], "amenity_type": on("amenity", F.lit("food_facility")), "residential_impact": on("amenity", F.lit(True)), "community_facilities": on("amenity", F.lit(True)), "quality_of_life": on("amenity", F.lit(True)),
+    }
+    return F.struct(*[c.alias(k) for k, c in fields.items()])
 
 
 def any_sql(column: str, terms: list[str]) -> str:

@@ -31,13 +31,14 @@ def unpivoted(df: DataFrame, key: str) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, key: str, order: str, step: int = 4, file: str | None = None) -> DataFrame:
-    """Adds level, name and parent, from leading spaces and the order inside a file; without file, the rows are one file."""
+    """Adds level, name and parent (the last name one level up), from leading spaces and the order inside a file, to any depth.
+
+    Without file, the rows are one file. Only the deepest level reaches the driver.
+    """
     out = df.withColumn("level", F.floor((F.length(key) - F.length(F.ltrim(F.col(key)))) / step).cast("int")).withColumn("name", F.trim(F.col(key)))
     above = (W.partitionBy(file) if file else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    for level in range(3):
-        out = out.withColumn(f"_at{level}", F.last(F.when(F.col("level") == level, F.col("name")), ignorenulls=True).over(above))
-    parent = F.when(F.col("level") == 1, F.col("_at0")).when(F.col("level") == 2, F.col("_at1")).when(F.col("level") == 3, F.col("_at2"))
-    return out.withColumn("parent", parent).drop("_at0", "_at1", "_at2")
+    parents = [F.when(F.col("level") == level + 1, F.last(F.when(F.col("level") == level, F.col("name")), ignorenulls=True).over(above)) for level in range(out.agg(F.max("level")).first()[0] or 0)]
+    return out.withColumn("parent", F.coalesce(*parents, F.lit(None).cast("string")))
 
 
 def detail(df: DataFrame, dim: str) -> DataFrame:

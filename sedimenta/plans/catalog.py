@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import dates, html, text
 from sedimenta.operators import collections as coll
 from sedimenta.operators import grouped, quality, rules
-from sedimenta.plans import pages, records, samples, scale
+from sedimenta.plans import derived, pages, records, samples, scale
 
 VOCABULARY = ["license", "apache", "rent", "ec", "ease", "token", "reserved", "lease", "data", "condo"]
 TIERS = [("high", ["license", "apache"]), ("medium", ["reserved", "token"]), ("low", ["rent", "ease"])]
@@ -133,7 +133,7 @@ def _table():
     q["date_range"] = (lambda s, d: _events(s, d).where(dates.in_range(F.col("ts").cast("date"), "2024-01-05", "2024-01-09")).select("event_id"), "SELECT event_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
     q["find_dates"] = (_dates, "SELECT event_id, ts::DATE::VARCHAR AS day, ts::DATE::VARCHAR AS slashed FROM events")
     q["json_fields"] = (lambda s, d: _events(s, d).groupBy(F.coalesce(F.get_json_object("props", "$.k").cast("string"), F.lit("unknown")).alias("k")).agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(json_extract_string(props, '$.k'), 'unknown') AS k, count(*) AS n FROM events GROUP BY 1")
-    q["monthly_trend"] = (lambda s, d: _events(s, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts")), "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, min(ts)::VARCHAR AS first_ts FROM events GROUP BY 1, 2")
+    q["monthly_trend"] = (lambda s, d: _events(s, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts"), F.max("ts").cast("string").alias("last_ts")), "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, min(ts)::VARCHAR AS first_ts, max(ts)::VARCHAR AS last_ts FROM events GROUP BY 1, 2")
     q["keyed_dedup"] = (_events_deduped, "SELECT user_id, arg_max(value, event_id) AS value, min(event_id) AS place FROM events GROUP BY user_id")
     q["weighted_limit"] = (lambda s, d: grouped.weighted_limit(_docs(s, d), "lang", "doc_id", {"en": 0.4, "fr": 0.35, "de": 0.15, "es": 0.1}).select("lang", "doc_id"), "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= floor(20 * CASE lang WHEN 'en' THEN 0.4::DOUBLE WHEN 'fr' THEN 0.35::DOUBLE WHEN 'de' THEN 0.15::DOUBLE WHEN 'es' THEN 0.1::DOUBLE ELSE 0 END)")
     q["early_stop"] = (_early, "SELECT section, conv_id, n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY section ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT conv_id, conv_id % 5 AS section, count(*) AS n FROM conversations GROUP BY conv_id)) WHERE b < 50")
@@ -142,7 +142,7 @@ def _table():
       + CASE WHEN n = 0 THEN 1.0 WHEN n <= 3 THEN 0.6 ELSE 0.2 END * 0.2::DOUBLE + CASE WHEN {rules.any_sql('text', GAZETTEER)} THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN doc_id % 100 >= 66 THEN 1.0 WHEN doc_id % 100 >= 33 THEN 0.5 ELSE 0.1 END * 0.15::DOUBLE, 6) AS quality_score
       FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[!?]')), 0) AS n FROM documents)""")
     q["follow_links"] = (_followed, "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 <> 0)")
-    return q | samples.table() | pages.table() | scale.table() | records.table()
+    return q | samples.table() | pages.table() | scale.table() | records.table() | derived.table()
 
 
 def queries():

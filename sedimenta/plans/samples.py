@@ -23,10 +23,9 @@ SENTENCES = [
     "Ang Mo Hawker Centre, Bedok Food Court and Pasir Panjang Wholesale Centre in Jurong Region", "Agricultural land parcel for farming in Lim Chu Kang and Sungei Tengah", "Jurong Fishery Port lease extension to 2031", "Land allocation by licensing SFA_2024_7 and SFA 2023 0123",
     "TDSR and LTV framework for a property loan, MSR too", "Bank and finance companies are prudent about risk; effective from 9 May 2024", "Lending by a bank, effective 31 February 2024", "Housing loan investor in private property", "Block 5 SG(238841)",
     "on 31 Feb 2024 and 2024-03-05", "on 2024-1-5", "on 15 jan 2024", "on 5/3/2024", "on 05-03-2024", "on 2024-01-05 or 1/2", "on Jan 5, 2024", "on 7 March 2023", "on 7 march 2023 and 3 Apr 2022", "on 12 September 2021 and 1999-12-31", "on 99/99/2024",
-    "BTO flats", "Lease extension", "Licensing of stalls", "Tiong Hawker Centre", "Cooling of the market",
+    "BTO flats", "Lease extension", "Licensing of stalls", "Tiong Hawker Centre", "Cooling of the market", "sfa_2024_7 in small letters", "Zero energy building", "hdb flats at 0.9 m2 per manday",
 ]
 _ROWS = ", ".join(f"({-i - 1}, '{x}')" for i, x in enumerate(SENTENCES))
-_FEW = f"(SELECT * FROM (VALUES {_ROWS}) v(doc_id, text))"
 _ALL = f"(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_ROWS}) v(doc_id, text))"
 
 
@@ -193,90 +192,6 @@ def _changes(s, d):
     return rows.select("o_orderpriority", "month", F.round("change", 9).alias("change"))
 
 
-_WIDE = [("f1", 0, "Total", "1,000", "na", "12"), ("f1", 1, "    Shops", "5", "6", "na"), ("f1", 2, "        Small", "1", "2", "3"), ("f1", 3, "    Offices", "7", "246,800", "9"), ("f2", 0, "All Residential", "4", "5", "6"), ("f2", 1, "    None", "1", "na", "2")]
-_WIDE_SQL = "(VALUES " + ", ".join(str(r) for r in _WIDE) + ") w(file, row_no, series, p1, p2, p3)"
-
-
-def _wide(s):
-    return s.createDataFrame(_WIDE, "file string, row_no int, DataSeries string, `20251Q` string, `20252Q` string, `2024-Q4` string")
-
-
-def _unpivoted(s, d):
-    long = series.unpivoted(_wide(s).drop("file").withColumn("row_no", F.monotonically_increasing_id()), "DataSeries")
-    return long.select(F.trim("DataSeries").alias("name"), "period", F.col("first_day").cast("string").alias("day"), "value")
-
-
-def _tree(s, d):
-    return series.hierarchy(_wide(s), "DataSeries", "row_no", file="file").select("file", "row_no", "level", "name", "parent")
-
-
-_TREE = f"""WITH w AS (SELECT file, row_no, ((length(series) - length(ltrim(series))) // 4)::INTEGER AS level, trim(series) AS name FROM {_WIDE_SQL})
-SELECT a.file, a.row_no, a.level, a.name, (SELECT arg_max(b.name, b.row_no) FROM w b WHERE b.file = a.file AND b.row_no < a.row_no AND b.level = a.level - 1) AS parent FROM w a"""
-_PERIODS = ["2008-Q1", "20253Q", "2017-12", "2020", "na", "2017-13", "2008-Q5"]
-
-
-def _periods(s, d):
-    return s.createDataFrame([(x,) for x in _PERIODS], "period string").select("period", dates.period(F.col("period")).cast("string").alias("day"))
-
-
-_PERIODS_SQL = "SELECT * FROM (VALUES ('2008-Q1', '2008-01-01'), ('20253Q', '2025-07-01'), ('2017-12', '2017-12-01'), ('2020', '2020-01-01'), ('na', NULL), ('2017-13', NULL), ('2008-Q5', NULL)) v(period, day)"
-_STAMPS = [("2025-09-21", "Mon, 05 Feb 2024 08:30:00 +0800", 1700000000.0, "2025-09-21T17:31:21Z"), ("7 March 2023", "bad", 0.0, "2025-01-02T03:04:05+08:00"), ("March 7, 2023", None, 86399.5, "x"), ("7/3/2023", "Tue, 31 Feb 2024 00:00:00 GMT", None, None), ("soon", "1 Jan 2000 00:00:01", 951782400.0, "2024-02-29T00:00:00")]
-
-
-def _stamps(s, d):
-    df = s.createDataFrame(_STAMPS, "day string, feed string, epoch double, iso string")
-    return df.select("day", dates.parse_formats(F.col("day")).cast("string").alias("parsed"), dates.feed_time(F.col("feed")).alias("fed"), dates.from_epoch(F.col("epoch")).alias("created"), F.date_format(dates.wall_clock(F.col("iso")), "yyyy-MM-dd HH:mm:ss").alias("wall"))
-
-
-_STAMPS_SQL = """SELECT * FROM (VALUES ('2025-09-21', '2025-09-21', '2024-02-05T08:30:00+08:00', '2023-11-14T22:13:20', '2025-09-21 17:31:21'), ('7 March 2023', '2023-03-07', NULL, '1970-01-01T00:00:00', '2025-01-02 03:04:05'),
-  ('March 7, 2023', '2023-03-07', NULL, '1970-01-01T23:59:59', NULL), ('7/3/2023', '2023-03-07', NULL, NULL, NULL), ('soon', NULL, '2000-01-01T00:00:01+08:00', '2000-02-29T00:00:00', '2024-02-29 00:00:00')) v(day, parsed, fed, created, wall)"""
-_SLUGS = [("<p>Jan 5, 2024</p>", "/pr-2023-7"), ("no date", "/pr-2024"), ("2 Feb 2022", "/x")]
-
-
-def _slugs(s, d):
-    df = s.createDataFrame(_SLUGS, "html string, slug string")
-    return df.select("slug", dates.slug_date(F.col("html"), F.col("slug"), F.lit("2025-01-01").cast("date")).cast("string").alias("day"))
-
-
-_HREFS = [("/q", "https://a.b/c/d", "https://a.b/q"), ("e.html", "https://a.b/c/d", "https://a.b/c/e.html"), ("../e", "https://a.b/c/d/f", "https://a.b/c/e"), ("?p=2", "https://a.b/c/d?p=1", "https://a.b/c/d?p=2"), ("#top", "https://a.b/c", "https://a.b/c#top"), ("//x.y/z", "https://a.b/c", "https://x.y/z"), ("http://x.y", "https://a.b/c", "http://x.y"), ("mailto:a@b", "https://a.b", "mailto:a@b"), ("q", "https://a.b", "https://a.b/q")]
-
-
-def _hrefs(s, d):
-    df = s.createDataFrame([x[:2] for x in _HREFS], "href string, base string")
-    return df.select("href", "base", html.absolute(F.col("href"), F.col("base")).alias("url"))
-
-
-_PAGE = """<title>T</title><div class="Post">Long text of a block with over twenty letters</div><p>Paragraph that is longer than thirty letters</p><td>x</td><a href='/q'>Land use tender</a><a class=k href=/r.pdf>farming</a><a href="/q">again</a><meta name="description" content="about"><time datetime="2024-01-02">Tuesday</time>"""
-
-
-def _page(s, d):
-    df = s.createDataFrame([(_PAGE,)], "html string")
-    h = F.col("html")
-    hrefs = F.transform(html.anchors(h), lambda a: a["href"])
-    saying = F.transform(html.anchors_saying(h, "(?i)farming|agricultural|land.*tender"), lambda a: a["href"])
-    none = F.array().cast("array<string>")
-    return df.select(
-        html.blocks(h).alias("blocks"), html.blocks(F.lit("<p>Only a paragraph, of more than thirty letters</p><b>x</b>"), "div|li").alias("fallback"), F.array_join(hrefs, "|").alias("hrefs"), F.array_join(saying, "|").alias("saying"),
-        html.text_node(h, "farm").alias("node"), F.array_join(html.first_selector([none, F.array(F.lit("a")), hrefs]), "|").alias("first"), F.array_join(html.every_selector([hrefs, saying]), "|").alias("every"), html.description(h).alias("about"),
-        html.date_text(h).alias("dated"), F.array_join(html.by_class(h, "post"), "|").alias("posts"), html.link_kind(F.lit("/r.PDF")).alias("kind"), html.first_element(h, ("title", "h1")).alias("title"),
-    )
-
-
-_PAGE_SQL = """SELECT 'Long text of a block with over twenty letters' || chr(10) || chr(10) || 'Paragraph that is longer than thirty letters' AS blocks, 'Only a paragraph, of more than thirty letters' AS fallback, '/q|/r.pdf|/q' AS hrefs, '/q|/r.pdf' AS saying, 'farming' AS node, 'a' AS first, '/q|/r.pdf' AS every,
-  'about' AS about, '2024-01-02' AS dated, 'Long text of a block with over twenty letters' AS posts, 'PDF' AS kind, 'T' AS title"""
-_RECORDS = [("1", "s", "https://x", "long enough content here", 3.0, 0.5, "2024-01-01T00:00:00", 0.5), ("1", "s", "ftp://x", "short", 9.0, 2.0, "soon", 1.5), ("2", "s", None, None, None, None, None, None)]
-
-
-def _validated(s, d):
-    df = s.createDataFrame(_RECORDS, "id string, source string, url string, content string, rating double, score double, scraped_at string, quality_score double")
-    rows = quality.violations(df)
-    flags = quality.flags(F.col("id") == "1", F.length("content") < 20, F.contains("content", F.lit("enough")), F.lit(False))
-    return rows.select("url", F.array_join(F.array_sort("violations"), "|").alias("violations"), F.array_join(flags, "|").alias("flags"))
-
-
-_VALIDATED = "SELECT * FROM (VALUES ('https://x', 'unique_id', 'duplicate|keyword_match'), ('ftp://x', 'date|length|quality|rating|sentiment|unique_id|url', 'duplicate|low_length'), (NULL, 'date|length|required|url', '')) v(url, violations, flags)"
-
-
 def _union(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
     both = coll.union_all(docs.select(F.col("doc_id").alias("id"), "lang"), s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), "url"))
@@ -304,12 +219,6 @@ def _top(s, d):
     return s.read.parquet(f"{d}/documents.parquet").orderBy(F.desc("n_chars"), "doc_id").limit(25).select("doc_id", "n_chars")
 
 
-def _maps(s, d):
-    df = s.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": "4"}), ({"a": "1"}, None)], "m map<string,string>, n map<string,string>")
-    both = articles.merged_metadata(F.col("m"), F.col("n"))
-    return df.select(F.array_join(F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("merged"), articles.map_get(F.col("m"), "z", "none").alias("z"), F.to_json(F.struct(articles.map_get(F.col("m"), "b", "0").alias("b"))).alias("b"))
-
-
 def _measured(s, d):
     t = F.col("text")
     return _texts(s, d).select("doc_id", text.slug(t).alias("slug"), F.md5(text.squeeze(t)).alias("squeezed"), F.array_join(text.places(t, ["ang mo", "bedok", "jurong"]), "|").alias("places"))
@@ -320,17 +229,6 @@ def _groups(s, d):
     return _texts(s, d).select(g.alias("g")).agg(*[F.count_if(f"g.{k}").alias(k) for k in ("infrastructure", "land", "amenity")])
 
 
-def _mas(s, d):
-    urls = F.array(*[F.lit(u) for u in ("/news/1", "/notice/2", "/macroprudential", "/speech", "/parliamentary", "/NEWS", "/x")])
-    return _few(s).select(F.explode(urls).alias("url"), "text").groupBy("url", rules.mas_policy(F.col("url"), F.col("text")).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_MAS = f"""SELECT url, CASE WHEN url LIKE '%media-release%' OR url LIKE '%news%' THEN concat_ws('/', 'policy_announcement', CASE {_CLASSES['mas_subtype']} END)
-  WHEN url LIKE '%regulation%' OR url LIKE '%notice%' THEN concat_ws('/', 'regulatory_requirement', CASE WHEN {_any('tdsr')} THEN 'tdsr_computation' WHEN {_any('property loan')} THEN 'property_lending' WHEN {_any('housing loan')} THEN 'housing_lending' END)
-  WHEN url LIKE '%macroprudential%' THEN 'macroprudential_policy/policy_framework' WHEN url LIKE '%parliamentary%' THEN 'policy_explanation/parliamentary_reply' WHEN url LIKE '%speech%' THEN 'policy_explanation/speech' END AS policy, count(*) AS n
-FROM (SELECT lower(text) AS l, unnest(['/news/1', '/notice/2', '/macroprudential', '/speech', '/parliamentary', '/NEWS', '/x']) AS url FROM {_FEW}) GROUP BY ALL"""
-
-
 def _subtypes(s, d):
     kind = rules.classify(F.col("text"), "ura_policy_type")
     return coll.counts(_texts(s, d), rules.subtype(F.col("text"), kind), "label")
@@ -340,30 +238,6 @@ _SUBTYPES = f"""SELECT CASE kind WHEN 'gls_programme' THEN CASE WHEN {_any('conf
   WHEN 'site_tender' THEN CASE WHEN {_any('tender launch')} THEN 'tender_launch' WHEN {_any('tender award')} THEN 'tender_award' ELSE 'tender_update' END
   WHEN 'market_statistics' THEN CASE WHEN {_any('quarterly')} THEN 'quarterly_release' WHEN {_any('flash')} THEN 'flash_estimate' ELSE 'market_update' END ELSE 'general' END AS label, count(*) AS n
 FROM (SELECT l, CASE {_CLASSES['ura_policy_type']} END AS kind FROM (SELECT coalesce(lower(text), '') AS l FROM {_ALL})) GROUP BY 1"""
-_ROUTES = [("food_infrastructure", "x", "newsroom"), ("a", "sfa_newsroom_1", "newsroom"), ("a", "food_retail_1", "food_retail"), ("wholesale_x", None, "wholesale_markets"), (None, "agricultural", "agricultural_land"), ("Wholesale", "z", "newsroom"), (None, None, "newsroom")]
-
-
-def _routes(s, d):
-    df = s.createDataFrame([x[:2] for x in _ROUTES], "category string, key string")
-    return df.select("category", "key", rules.route(F.col("category"), F.col("key")).alias("bucket"))
-
-
-def _dispatched(s, d):
-    kinds = F.array(*[F.lit(k) for k in ("media_releases", "construction_data", "productivity_reports", "regulatory_updates", "other")])
-    rows = _few(s).select("doc_id", "text", F.explode(kinds).alias("category")).select("category", rules.by_category(F.col("text"), F.col("category")).alias("j"))
-    return rows.groupBy("category").agg(F.count("j").alias("n"), F.count(F.get_json_object("j", "$.press_release_id")).alias("ids"), F.count(F.get_json_object("j", "$.index_value")).alias("indexes"), F.count(F.get_json_object("j", "$.efficiency_factors")).alias("factors"), F.count_if(F.get_json_object("j", "$.compliance_type") == "mandatory").alias("mandatory"))
-
-
-_DISPATCHED = f"""SELECT category, count_if(category <> 'other')::BIGINT AS n, count_if(category = 'media_releases' AND regexp_matches(text, '(?i)BCA[_\\s]*\\d{{4}}[_\\s]*\\d+'))::BIGINT AS ids, count_if(category = 'construction_data' AND regexp_matches(text, '(?i)index.*?\\d'))::BIGINT AS indexes,
-  count_if(category = 'productivity_reports' AND {_any('automation', 'prefabrication', 'digitalization', 'planning', 'technology')})::BIGINT AS factors, count_if(category = 'regulatory_updates' AND {_any('mandatory', 'requirement', 'standard', 'regulation')})::BIGINT AS mandatory
-FROM (SELECT text, lower(text) AS l, unnest(['media_releases', 'construction_data', 'productivity_reports', 'regulatory_updates', 'other']) AS category FROM {_FEW}) GROUP BY category"""
-
-
-def _values(rows, columns: str) -> str:
-    one = lambda v: "NULL" if v is None else f"'{v}'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") v({columns})"
-
-
 def table() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     for name, case in _CLASSES.items():
@@ -371,14 +245,11 @@ def table() -> dict[str, tuple]:
     q["flags"] = (lambda s, d: _texts(s, d).agg(*[F.count_if(text.keyword_any(F.col("text"), t)).alias(k) for k, t in rules.FLAGS.items()]), _FLAGS)
     q["classify_ura_subtype"] = (_subtypes, _SUBTYPES)
     q["classify_sla_policy"] = (lambda s, d: coll.counts(_texts(s, d), rules.sla_policy(F.col("text")), "label"), _count(f"WHEN {_any('land acquisition', 'compulsory acquisition')} THEN 'public_development' WHEN {_any('tender')} AND {_any('state property')} THEN 'adaptive_reuse' WHEN {_any('land betterment charge', 'lbc')} THEN 'fee_revision' WHEN {_any('statistics', 'data')} THEN 'statistical_release' ELSE 'information_update'"))
-    q["mas_policy"] = (_mas, _MAS)
-    q["route"] = (_routes, _values(_ROUTES, "category, key, bucket"))
-    q["by_category"] = (_dispatched, _DISPATCHED)
     q["field_groups"] = (_groups, f"SELECT count_if({_any('lease extension', 'wholesale centre', 'fishery port')})::BIGINT AS infrastructure, count_if({_any('agricultural land', 'farming', 'land parcel')})::BIGINT AS land, count_if({_any('hawker centre', 'food court', 'hdb')})::BIGINT AS amenity FROM (SELECT lower(text) AS l FROM {_ALL})")
     for name, sql in _FIELDS.items():
         q[f"extract_{name}"] = (_field(name), _sql(sql))
     q["extract_bca_id"] = (_value(lambda t: text.release_id(t, "BCA")), _sql(r"'BCA_' || nullif(regexp_extract(text, '(?i)BCA[_\s]*(\d{4})[_\s]*(\d+)', 1), '') || '_' || regexp_extract(text, '(?i)BCA[_\s]*(\d{4})[_\s]*(\d+)', 2)"))
-    q["extract_sfa_id"] = (_value(lambda t: text.release_id(t, "SFA", r"[_\s]", 3)), _sql(r"CASE WHEN regexp_matches(text, 'SFA[_\s]\d{4}[_\s]\d+') THEN 'SFA_' || regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 1) || '_' || CASE WHEN length(regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2)) < 3 THEN lpad(regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2), 3, '0') ELSE regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2) END END"))
+    q["extract_sfa_id"] = (_value(lambda t: text.release_id(t, "SFA", r"[_\s]", 3, any_case=False)), _sql(r"CASE WHEN regexp_matches(text, 'SFA[_\s]\d{4}[_\s]\d+') THEN 'SFA_' || regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 1) || '_' || CASE WHEN length(regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2)) < 3 THEN lpad(regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2), 3, '0') ELSE regexp_extract(text, 'SFA[_\s](\d{4})[_\s](\d+)', 2) END END"))
     q["extract_reporting_period"] = (_value(text.reporting_period), _sql(r"'Q' || nullif(regexp_extract(text, 'Q(\d)\s*(\d{4})', 1), '') || '_' || regexp_extract(text, 'Q(\d)\s*(\d{4})', 2)"))
     q["extract_tenure_years"] = (_value(text.tenure_years), _sql(r"CASE WHEN low LIKE '%tender%' THEN nullif(concat_ws('+', nullif(regexp_extract(low, '(\d+)(?:\+(\d+))?\s*years?', 1), ''), nullif(regexp_extract(low, '(\d+)(?:\+(\d+))?\s*years?', 2), '')), '') END"))
     q["extract_gls_period"] = (_value(text.gls_period), _sql(r"upper(nullif(regexp_extract(low, '(\d+h\d{4})', 1), ''))"))
@@ -398,27 +269,16 @@ def table() -> dict[str, tuple]:
     q["compensation"] = (lambda s, d: _texts(s, d).where(text.keyword_any(F.col("text"), ["compensation"])).select("doc_id"), f"SELECT doc_id FROM {_ALL} WHERE lower(text) LIKE '%compensation%'")
     for dialect, days in _DAYS.items():
         q[f"date_{dialect}"] = (_dated(dialect), _sql(f"coalesce({', '.join(days)})::VARCHAR"))
-    q["stamps"] = (_stamps, _STAMPS_SQL)
-    q["slug_dates"] = (_slugs, "SELECT * FROM (VALUES ('/pr-2023-7', '2023-06-01'), ('/pr-2024', '2024-06-01'), ('/x', '2025-01-01')) v(slug, day)")
-    q["periods"] = (_periods, _PERIODS_SQL)
-    q["absolute_links"] = (_hrefs, _values(_HREFS, "href, base, url"))
-    q["page_selectors"] = (_page, _PAGE_SQL)
     q["article_records"] = (_article, _ARTICLE)
     q["post_records"] = (_posts, "SELECT conv_id || '-' || turn AS id, strftime(TIMESTAMP '2024-01-01' + to_hours(conv_id::BIGINT), '%Y-%m-%dT%H:%M:%S') AS created_date, 'https://x.y/r/' || conv_id AS permalink, CASE WHEN turn = 0 THEN coalesce(role, '[deleted]') ELSE '[deleted]' END AS author, 'forum' AS source, '2025-01-01' AS scraped_at FROM conversations WHERE turn IN (0, 1)")
     q["children_total"] = (_children, "SELECT count_if(role <> 'system')::BIGINT AS n_children, count(DISTINCT conv_id) AS n_parents FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations) WHERE rn <= 10")
     q["numbered"] = (_numbered, "SELECT event_id, printf('EV_%d_%03d', year(ts), row_number() OVER (ORDER BY event_id)) AS release_id FROM events")
     q["series_changes"] = (_changes, "WITH v AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*)::DOUBLE AS v FROM orders GROUP BY ALL), b AS (SELECT *, lag(v, 4) OVER (PARTITION BY o_orderpriority ORDER BY month) AS b FROM v) SELECT o_orderpriority, month, round((v - b) / b, 9) AS change FROM b")
     q["series_summary"] = (lambda s, d: series.summary(_series(s, d), ["o_orderpriority"], "month", "v").select("o_orderpriority", F.round("average", 9).alias("average"), "last"), "WITH v AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*)::DOUBLE AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, round(avg(v), 9) AS average, arg_max(v, month) AS last FROM v GROUP BY 1")
-    q["unpivoted"] = (_unpivoted, f"SELECT trim(series) AS name, p[1] AS period, p[2] AS day, try_cast(replace(nullif(p[3], 'na'), ',', '') AS DOUBLE) AS value FROM (SELECT series, unnest([['20251Q', '2025-01-01', p1], ['20252Q', '2025-04-01', p2], ['2024-Q4', '2024-10-01', p3]]) AS p FROM {_WIDE_SQL})")
-    q["hierarchy"] = (_tree, _TREE)
-    q["detail_rows"] = (lambda s, d: series.detail(_wide(s), "DataSeries").select("file", "row_no"), f"SELECT file, row_no FROM {_WIDE_SQL} WHERE NOT (series LIKE 'All %' OR series LIKE 'Total%')")
     q["distinct_files"] = (lambda s, d: series.distinct_files(s.read.parquet(f"{d}/pages.parquet").select("url", F.coalesce("html", F.lit("")).alias("content")), "content", "url").select("sha256", "url"), "SELECT sha256(coalesce(html, '')) AS sha256, min(url) AS url FROM pages GROUP BY 1")
-    q["header_drift"] = (lambda s, d: series.renamed(s.createDataFrame([(1, 2)], "shs int, old_age_depndency_ratio int")), "SELECT 1 AS shs_year, 2 AS old_age_dependency_ratio")
-    q["violations"] = (_validated, _VALIDATED)
     q["union_of_sources"] = (_union, "SELECT lang, count(id) AS n, count(url) AS urls, count(DISTINCT id) AS ids FROM (SELECT doc_id AS id, lang, NULL AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages) GROUP BY lang")
     q["until_target"] = (_target, _TARGET)
     q["until_empty_page"] = (_pages_until, "WITH p AS (SELECT conv_id % 5 AS section, turn AS page, count_if(turn % 4 <> 3)::BIGINT AS n FROM conversations GROUP BY ALL) SELECT section, page, n FROM p WHERE page < coalesce((SELECT min(page) FROM p x WHERE x.section = p.section AND x.n = 0), 1000000)")
     q["top_k"] = (_top, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
-    q["map_fields"] = (_maps, "SELECT * FROM (VALUES ('a=1|b=3|c=4', 'none', '{\"b\":\"2\"}'), ('a=1', 'none', '{\"b\":\"0\"}')) v(merged, z, b)")
     q["measures"] = (_measured, r"SELECT doc_id, substr(lower(regexp_replace(text, '[^a-zA-Z0-9]', '_', 'g')), 1, 30) AS slug, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed, array_to_string(list_transform(list_filter(['ang mo', 'bedok', 'jurong'], lambda k: contains(lower(text), k)), lambda k: CASE k WHEN 'ang mo' THEN 'Ang Mo' WHEN 'bedok' THEN 'Bedok' ELSE 'Jurong' END), '|') AS places FROM " + _ALL)
     return q

@@ -35,6 +35,17 @@ def json_array(df: DataFrame, most: int = 100_000) -> DataFrame:
     return few.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"more than {most} rows for one JSON array"))).otherwise(F.to_json("rows")).alias("value"))
 
 
+def batched(df: DataFrame, path: str, source: str, day: str, batches: int) -> bool:
+    """One folder for each batch, named {source}_{date}_{batch}; rows are dealt by a hash of all of them, so a rerun deals alike."""
+    batch = F.format_string(f"{source}_{day}_%03d", F.pmod(F.xxhash64(*df.columns), F.lit(batches)).cast("int"))
+    return json_lines(df.withColumn("batch", batch), path, by=["batch"])
+
+
+def run_names(prefix: str, stamp: str) -> dict[str, str]:
+    """The three ways to name output by the stamp of a run (yyyymmdd_hhmmss): kept apart by run, replaced daily, always replaced."""
+    return {"run": f"{prefix}_{stamp}", "daily": f"{prefix}_{stamp[:8]}", "fixed": f"{prefix}_stats"}
+
+
 def envelope(df: DataFrame, path: str, manifest: DataFrame) -> None:
     """Records, and beside them what is known about the run."""
     json_lines(df, f"{path}/articles")
