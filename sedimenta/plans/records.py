@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sedimenta.operators import metadata, trend
 from sedimenta.session import shared_folder
 from sedimenta.sources import quarantine
+from sedimenta.streaming import keyed
 
 
 def _damaged(s, d):
@@ -53,6 +54,16 @@ def _typed(s, d):
     return rows.select("event_id", "metadata.k", F.array_join(F.array_sort(F.map_keys("extra")), "|").alias("extra_keys"))
 
 
+def _streamed(s, d):
+    """events in four files, in no order of time, taken up one by one by a stream that keeps state; the same as keyed_dedup."""
+    folder = f"{shared_folder(s)}/streamed-{uuid.uuid4().hex}"
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value", "ts")
+    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    updates = keyed.run_available(keyed.last_values(stream, "user_id", "event_id", "value", "ts"), folder)
+    return keyed.latest(updates, "user_id").select("user_id", "value", "place")
+
+
 _STATE = "CASE WHEN NOT coalesce(json_valid(props), false) THEN NULL WHEN json_type(props, '$.{0}') IS NULL THEN 'absent' WHEN json_type(props, '$.{0}') = 'NULL' THEN 'null' ELSE 'value' END"
 _KIND = "CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type(props, '$.' || key)) END"
 
@@ -83,6 +94,7 @@ def table() -> dict[str, tuple]:
         "error_counts": (_errors, f"WITH {_DAMAGED} SELECT error, count(*) AS n FROM (SELECT coalesce({_ERROR}, 'ok') AS error FROM damaged) GROUP BY ROLLUP (error)"),
         "isolated_records": (_isolated, f"""WITH {_DAMAGED}, e AS (SELECT {_ERROR} AS error, CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM damaged)
 SELECT CASE WHEN error IS NULL THEN 'good' ELSE 'bad' END AS outcome, error, count(*) AS n, sum(k)::BIGINT AS sum_k, count(*) AS observed FROM e GROUP BY ALL"""),
+        "streamed_dedup": (_streamed, "SELECT user_id, arg_max(value, event_id) AS value, min(event_id) AS place FROM events GROUP BY user_id"),
         "metadata_keys": (lambda s, d: metadata.key_types(_bags(s, d).where("bag is not null"), "bag").where("key is not null"), f"WITH {_DAMAGED}, k AS (SELECT props, unnest(json_keys(props)) AS key FROM damaged WHERE json_valid(props)) SELECT key, {_KIND} AS kind, count(*) AS n FROM k GROUP BY ALL"),
         "metadata_presence": (_presence, f"WITH {_DAMAGED} SELECT {_STATE.format('k')} AS k, {_STATE.format('note')} AS note, count(*) AS n, sum(CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END)::BIGINT AS sum_k FROM damaged GROUP BY ALL"),
         "metadata_typed": (_typed, f"WITH {_DAMAGED} SELECT event_id, CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN json_valid(props) THEN array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), '|') END AS extra_keys FROM damaged"),
