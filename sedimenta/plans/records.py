@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import metadata, trend
 from sedimenta.session import shared_folder
-from sedimenta.sources import quarantine
+from sedimenta.sources import fetch, quarantine
 from sedimenta.streaming import keyed
 
 
@@ -40,6 +40,13 @@ def _isolated(s, d):
     return both.groupBy("outcome", "error").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("sum_k")).withColumn("observed", n)
 
 
+def _fetched(s, d):
+    """Parts 1 and up of the archive of pages, a hundred to a part: every seventh page is busy at first, the last part has pages that are not there."""
+    last = s.read.parquet(f"{d}/pages.parquet").agg(F.max("page_id")).first()[0]
+    rows = fetch.fetched(s, url="https://archive/{part}/{page}", parts=f"0-{last // 100}", pages="0-99", fetcher="sedimenta.sources.fetch:archive", archive=f"{d}/pages.parquet", size=100, fails_every=7, backoff=0)
+    return rows.where("part >= 1").select("part", "page", "status", "error", "attempts", F.md5("body").alias("body_md5"))
+
+
 def _bags(s, d):
     return _damaged(s, d).withColumn("bag", metadata.bag(F.col("props")))
 
@@ -95,6 +102,8 @@ def table() -> dict[str, tuple]:
         "isolated_records": (_isolated, f"""WITH {_DAMAGED}, e AS (SELECT {_ERROR} AS error, CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM damaged)
 SELECT CASE WHEN error IS NULL THEN 'good' ELSE 'bad' END AS outcome, error, count(*) AS n, sum(k)::BIGINT AS sum_k, count(*) AS observed FROM e GROUP BY ALL"""),
         "streamed_dedup": (_streamed, "SELECT user_id, arg_max(value, event_id) AS value, min(event_id) AS place FROM events GROUP BY user_id"),
+        "fetched_pages": (_fetched, """WITH n AS (SELECT id, p.* FROM range((SELECT (max(page_id) // 100 + 1) * 100 FROM pages)) r(id) LEFT JOIN pages p ON p.page_id = id)
+SELECT (id // 100)::INTEGER AS part, (id % 100)::INTEGER AS page, (CASE WHEN page_id IS NULL THEN 404 ELSE 200 END)::INTEGER AS status, CASE WHEN page_id IS NULL THEN 'page ' || id END AS error, (CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END)::INTEGER AS attempts, md5(html) AS body_md5 FROM n WHERE id >= 100"""),
         "metadata_keys": (lambda s, d: metadata.key_types(_bags(s, d).where("bag is not null"), "bag").where("key is not null"), f"WITH {_DAMAGED}, k AS (SELECT props, unnest(json_keys(props)) AS key FROM damaged WHERE json_valid(props)) SELECT key, {_KIND} AS kind, count(*) AS n FROM k GROUP BY ALL"),
         "metadata_presence": (_presence, f"WITH {_DAMAGED} SELECT {_STATE.format('k')} AS k, {_STATE.format('note')} AS note, count(*) AS n, sum(CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END)::BIGINT AS sum_k FROM damaged GROUP BY ALL"),
         "metadata_typed": (_typed, f"WITH {_DAMAGED} SELECT event_id, CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN json_valid(props) THEN array_to_string(list_sort(list_filter(json_keys(props), lambda x: x <> 'k')), '|') END AS extra_keys FROM damaged"),
