@@ -106,8 +106,9 @@ class FetchedPages(DataSource):
 def fetched(spark: SparkSession, **options: str) -> DataFrame:
     """The pages as a DataFrame; nothing is fetched before an action, and only what its filters leave.
 
-    Spark 4.1 uses the reader of an earlier, filtered scan again for a scan of the same frame without a filter, so every
-    scan gets one that is always true and makes it ask the source anew.
+    Spark 4.1 keeps one reader for each loaded frame and prunes it by the filters of the query planned last. So a frame
+    from here is for one query, in which it occurs once: call again for the next. The filter that is always true makes a
+    query without filters ask the source anew.
     """
     send_code(spark)
     spark.conf.set(PUSHDOWN, "true")
