@@ -51,8 +51,16 @@ SCRIPTS = sorted({s for _, s in _RANGES})
 _AT = [SCRIPTS.index(s) for _, s in _RANGES]
 
 #: Numbers that are word characters to the matcher but not letters: signs for fractions, exponents, Roman numerals.
-_SIGNS = "".join(map(re.escape, filter(lambda c: unicodedata.category(c) in ("Nl", "No"), map(chr, range(sys.maxunicode + 1)))))
-words_of = re.compile(rf"[^\W\d_{_SIGNS}]+").findall
+_SIGNS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Signs are rare, so only texts that hold one have their words split at signs."""
+    found = _WORD.findall(text)
+    if text.isascii() or _SIGNS.isdisjoint(text):
+        return found
+    return [w for x in found for w in (x if _SIGNS.isdisjoint(x) else "".join(" " if c in _SIGNS else c for c in x)).split()]
 
 
 def script(word: str) -> int:
@@ -108,8 +116,12 @@ class Model:
 
     def __init__(self, languages: list[str], grams: np.ndarray, scripts: np.ndarray):
         self.languages = languages
-        p = np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * BUCKETS)).T if languages else np.zeros((BUCKETS, 0))
-        self.logp = (p - p.mean(1, keepdims=True)).astype(np.float32) if languages else p
+        p = np.zeros((BUCKETS, len(languages)), np.float32)
+        for i in range(len(languages)):  # one language at a time, so that there is no second matrix
+            p[:, i] = np.log((grams[i] + 0.5) / (grams[i].sum(dtype=float) + 0.5 * BUCKETS))
+        if languages:
+            p -= p.mean(1, keepdims=True, dtype=float).astype(np.float32)
+        self.logp = p
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1) if languages else np.zeros((0, len(SCRIPTS)))
         ok = (share >= RARE_SCRIPT).T
         ok[~ok.any(1)] = True  # a script that no language has: all are candidates
@@ -129,13 +141,12 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS))))
     drawn = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_000))
-    part = F.lit(0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, rows / n))).otherwise(part)
-    found = known.where(drawn < part).select("text", "lang").mapInArrow(_count, "lang string, kind int, key int, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    parts = spark.createDataFrame([(lang, int(1_000_000 * min(1.0, rows / n))) for lang, n in sizes.items()], "_lang string, _part int")  # a row for each language
+    sample = known.select("text", "lang", drawn.alias("_drawn")).join(F.broadcast(parts), F.col("lang") == F.col("_lang")).where("_drawn < _part")
+    found = sample.select("text", "lang").mapInArrow(_count, "lang string, kind int, key int, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
-    g, s = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), len(SCRIPTS)))
+    g, s = np.zeros((len(languages), BUCKETS), np.float32), np.zeros((len(languages), len(SCRIPTS)))
     for r in found.toArrow().to_batches():
         for kind, table in ((0, g), (1, s)):
             own = r.filter(pc.equal(r.column("kind"), kind)) if r.num_rows else r

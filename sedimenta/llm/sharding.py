@@ -8,8 +8,6 @@ Bucket counts give each bucket its first slot, so slots of a shard run from 0 wi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,44 +30,62 @@ def rendezvous(key: str, shards: int, seed: int):
     return F.greatest(*each) if shards > 1 else each[0]
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, carry: Sequence[str] = (), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, carry: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Assign each row a shard, a bucket and a slot.
 
-    Returns doc_id, size, text_crc32, the carried columns, law ("key"), shard, grown_shard (with one shard more),
-    bucket and slot. doc_id and the number of shards alone decide the shard; a null doc_id is hashed as null. A
-    null text has size 16 and the checksum of no bytes. Repeated rows keep a slot each. An empty table gives no
-    rows. doc_id is taken as nearly unique: rows that share one share a bucket. Only carried columns travel.
+    Returns doc_id, size, text_crc32, the column that carry names, law ("key": doc_id and the number of shards alone decide
+    the shard, so equal texts with different ids are spread like any others), shard, grown_shard (with one shard more),
+    bucket and slot. A null doc_id is hashed as null. A null text has size 16 and the checksum of no bytes. Repeated rows
+    keep a slot each, in any order. An empty table gives no rows. doc_id is taken as nearly unique: rows that share one
+    share a bucket. Only the carried column travels; its type, and other columns' names, don't matter.
     """
     spark = docs.sparkSession
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), (F.sum(text_size()) if "text" in carry else F.lit(0)).alias("b")).first()
+    own = F.struct("doc_id", text_size().alias("size"), F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"))
+    rows = docs.select(own.alias("own"), (F.col(carry) if carry else F.lit(None)).alias("carried"), (text_size() if carry else F.lit(0)).alias("held"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("b")).first()
     per_shard = max(1, -(-(sizes.n * ROW_BYTES + (sizes.b or 0)) // (shards * bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(per_shard)).cast("int")
-    placed = docs.withColumn("_best", rendezvous("doc_id", shards, seed))
-    more = F.xxhash64(F.lit(seed), F.lit(shards), F.col("doc_id"))
-    placed = placed.select(
-        (-F.col("_best.s")).alias("shard"), F.when(more > F.col("_best.h"), shards).otherwise(-F.col("_best.s")).alias("grown_shard"), bucket.alias("bucket"),
-        F.struct("doc_id", text_size().alias("size"), F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"), *carry).alias("row"),
-    )
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "own.doc_id"), F.lit(per_shard)).cast("int")
+    placed = rows.withColumn("best", rendezvous("own.doc_id", shards, seed))
+    more = F.xxhash64(F.lit(seed), F.lit(shards), F.col("own.doc_id"))
+    placed = placed.select((-F.col("best.s")).alias("shard"), F.when(more > F.col("best.h"), shards).otherwise(-F.col("best.s")).alias("grown_shard"), bucket.alias("bucket"), "own", "carried")
     order = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     firsts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = placed.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("row", "grown_shard"))).alias("rows"))
+    by_key = lambda a, b: F.when(a["own"] < b["own"], -1).when(a["own"] > b["own"], 1).otherwise(0)
+    drawn = placed.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("own", "grown_shard", "carried")), by_key).alias("rows"))
     drawn = drawn.sortWithinPartitions("shard", "bucket").withColumn("rows", F.shuffle("rows", F.lit(seed)))
     out = drawn.join(firsts, ["shard", "bucket"]).select("shard", "bucket", "first", F.posexplode("rows").alias("at", "x"))
-    return out.select("x.row.*", F.lit("key").alias("law"), "shard", "x.grown_shard", "bucket", (F.col("first") + F.col("at")).alias("slot"))
+    return out.select("x.own.*", *([F.col("x.carried").alias(carry)] if carry else []), F.lit("key").alias("law"), "shard", "x.grown_shard", "bucket", (F.col("first") + F.col("at")).alias("slot"))
+
+
+PLACE = ("size", "text_crc32", "law", "shard", "grown_shard", "bucket", "slot")
+
+
+def place_names(docs: DataFrame) -> dict[str, str]:
+    """The names of a row's place among the columns of docs: with underscores before them where docs has the name."""
+    taken, out = {c.lower() for c in docs.columns}, {}
+    for name in PLACE:
+        out[name] = name
+        while out[name] in taken:
+            out[name] = "_" + out[name]
+    return out
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> DataFrame:
-    """Write whole rows as Parquet, a folder for each shard, a file for each of its buckets, rows in slot order; the result reads them."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = shard_rows(docs, shards, carry=rest, **options)
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write whole rows as Parquet, a folder for each shard, a file for each of its buckets, rows in slot order; the result reads them.
+
+    The columns of docs keep their names, beside them stands the row's place under place_names().
+    """
+    names = place_names(docs)
+    rows = shard_rows(docs.select("doc_id", "text", F.struct("*").alias("row")), shards, carry="row", **options)
+    rows = rows.select("row.*", *[F.col(c).alias(names[c]) for c in PLACE])
+    rows.sortWithinPartitions(names["shard"], names["slot"]).write.partitionBy(names["shard"]).parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def op2_sharding(spark, sf_dir):
     """Shards are written whole to the shared folder; size and checksum are those of the texts read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written = write_shards(docs, scratch_path(spark, "shards"))
+    written, names = write_shards(docs, scratch_path(spark, "shards")), place_names(docs)
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
-    return written.select("doc_id", text_size().alias("size"), crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+    return written.select("doc_id", text_size().alias("size"), crc.alias("text_crc32"), *[F.col(names[c]).alias(c) for c in ("law", "shard", "slot", "grown_shard")])

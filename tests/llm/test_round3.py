@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import align, exact, kmeans
+from sedimenta.llm import align, exact, kmeans, language, sharding
 
 P = pytest.importorskip("public_tokenizers")
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -190,3 +190,41 @@ def test_kmeans_query_leaves_out_unusable_vectors(spark, tmp_path):
     spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, cluster int, v int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = kmeans.op13_kmeans(spark, str(tmp_path)).collect()
     assert sorted(r.vec_id for r in got) == [1, 7, 7] and all(r.distance == 0 and r.inertia == 0 for r in got)
+
+
+def test_shards_keep_columns_of_any_name_and_type(spark, tmp_path):
+    names = ["size", "shard", "slot", "law", "bucket", "grown_shard", "row", "own", "carried", "text_crc32"]
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), *[F.lit(i).alias(n) for i, n in enumerate(names)], F.create_map(F.lit("k"), F.lit("v")).alias("m"))
+    docs.drop("m").write.parquet(f"{tmp_path}/documents.parquet")
+    written = sharding.write_shards(docs, f"file://{tmp_path}/shards", 5)
+    rows = written.orderBy("_shard", "_slot").collect()
+    assert len(rows) == 300 and all(r["m"] == {"k": "v"} and [r[n] for n in names] == list(range(len(names))) for r in rows)
+    for shard in range(5):
+        own = [r for r in rows if r["_shard"] == shard]
+        assert [r["_slot"] for r in own] == list(range(len(own)))
+        assert [r["doc_id"] for r in own] != sorted(r["doc_id"] for r in own)
+    got = sharding.op2_sharding(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and got.count() == 300
+
+
+def test_shards_against_plain_python(spark):
+    """The law and the slots, recomputed row by row from Spark's hash of each key."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.array(*[F.xxhash64(F.lit(7), F.lit(s), F.col("doc_id")) for s in range(9)]).alias("h")).collect()}
+    for r in sharding.shard_rows(docs, 8).collect():
+        h = hashes[r.doc_id]
+        assert r.shard == max(range(8), key=lambda s: h[s]) and r.grown_shard == max(range(9), key=lambda s: h[s])
+
+
+def test_a_thousand_languages(spark):
+    """One word for each language; every language is told by its own word."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, f"{w} {w} {w}", f"l{i:04}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = language.identify(docs.where("doc_id % 20 = 0"), model).collect()
+    assert len(model.languages) == 1000 and all(r.lang_pred == f"l{r.doc_id:04}" for r in got)
+
+
+def test_words_split_at_signs():
+    assert language.words_of("ab½cd Ⅷx é_1 ²") == ["ab", "cd", "x", "é"] and language.words_of("½") == [] and language.words_of("a1b") == ["a", "b"]
