@@ -10,6 +10,7 @@ handed on as spanning stars, never as all pairs.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from sedimenta.llm.topk import _matrix, usable
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 4096
+#: Queries whose links are held at a time.
+PART_ROWS = 512
 DEGREE, CAP, BEAM = 8, 16, 48
 EXPAND = 4
 #: Share of an audit's links that beams must find, and every how many-th query is audited.
@@ -145,23 +148,31 @@ class Hnsw:
         return ids, sims
 
     def links(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node in the given order) with at least this similarity, beams widened until the audit passes."""
+        """All pairs of linked_parts() at once."""
+        return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *self.linked_parts(q, least), strict=True))
+
+    def linked_parts(self, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node in the given order) with at least this similarity, PART_ROWS queries at a time.
+
+        Beams are widened until they find enough of what a full scan finds for the audited queries.
+        """
         q = np.ascontiguousarray(q, np.float32)
         n, width = len(self.x), BEAM // 2
-        every = max(1, min(AUDIT_EVERY, len(q) // AUDITS))
-        audit = np.arange(0, len(q), every)
-        truth = q[audit] @ self.x.T >= least if len(audit) else np.zeros((0, n), bool)
-        while True:
-            a, b = self.within(q, least, width)
-            found = np.zeros(truth.shape, bool)
-            at = a % every == 0
-            found[a[at] // every, b[at]] = True
-            if (found & truth).sum() >= RECALL * truth.sum():
-                return a, self.order[b]
-            if width >= n:  # a part of the graph that no beam reaches
-                a, b = np.concatenate([np.stack(np.nonzero(q[i : i + 1024] @ self.x.T >= least)) + [[i], [0]] for i in range(0, len(q), 1024)], 1)
-                return a, self.order[b]
+        audit = np.arange(0, len(q), max(1, min(AUDIT_EVERY, len(q) // AUDITS)))
+        while width < n:
+            found = known = 0
+            for at in range(0, len(audit), PART_ROWS):
+                own = q[audit[at : at + PART_ROWS]]
+                truth = own @ self.x.T >= least
+                a, b = self.within(own, least, width)
+                found, known = found + int(truth[a, b].sum()), known + int(truth.sum())
+            if found >= RECALL * known:
+                break
             width *= 2
+        for at in range(0, len(q), PART_ROWS):
+            own = q[at : at + PART_ROWS]
+            a, b = self.within(own, least, width) if width < n else np.nonzero(own @ self.x.T >= least)  # a part of the graph that no beam reaches
+            yield a + at, self.order[b]
 
     def within(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         out, n = [], len(self.x)
@@ -214,15 +225,17 @@ def _search(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
         q_ids = right.column("rep").to_numpy()
         q = _matrix(right.column("embedding"), x.shape[1])
         uq, ux = unit(q), unit(x)
-        a, b = graph.links(uq, least - SLACK)
-        a, b = a[(other := q_ids[a] != x_ids[b])], b[other]
-        ok = np.concatenate([(uq[a[i : i + 65536]] * ux[b[i : i + 65536]]).sum(1) >= least for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
-        a, b = a[ok], b[ok]
-        n = np.bincount(a, copies[b], len(q_ids)).astype(np.int64)
-        nodes, at = np.unique(np.concatenate([q_ids, x_ids[b]]), return_inverse=True)
-        root = local_roots(len(nodes), at[a], at[len(q_ids) :], nodes)
+        nodes, at = np.unique(np.concatenate([q_ids, x_ids]), return_inverse=True)
+        own, other = at[: len(q_ids)], at[len(q_ids) :]
+        n, root = np.zeros(len(q_ids), np.int64), np.arange(len(nodes))
+        for a, b in graph.linked_parts(uq, least - SLACK):  # a part's links are counted and joined before the next part's are listed
+            ok = np.concatenate([(uq[a[i : i + 65536]] * ux[b[i : i + 65536]]).sum(1) >= least for i in range(0, len(a), 65536)] or [np.empty(0, bool)]) & (q_ids[a] != x_ids[b])
+            a, b = a[ok], b[ok]
+            n += np.bincount(a, copies[b], len(q_ids)).astype(np.int64)
+            root = local_roots(len(nodes), root[own[a]], root[other[b]], np.arange(len(nodes)))[root]
+        root = nodes[root]
         total = np.zeros(len(nodes), np.int64)
-        total[at[: len(q_ids)]] = n
+        total[own] = n
         keep = (total > 0) | (root != nodes)
         ids, sums, roots = nodes[keep], total[keep], root[keep]
     return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(sums, pa.int64()), "root": pa.array(roots, pa.int64())})

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import align, exact, kmeans, language, sharding
+from sedimenta.llm import align, exact, hnsw, kmeans, language, sharding
 
 P = pytest.importorskip("public_tokenizers")
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -228,3 +228,36 @@ def test_a_thousand_languages(spark):
 
 def test_words_split_at_signs():
     assert language.words_of("ab½cd Ⅷx é_1 ²") == ["ab", "cd", "x", "é"] and language.words_of("½") == [] and language.words_of("a1b") == ["a", "b"]
+
+
+def test_embedding_links_over_shards_and_blocks(spark, monkeypatch):
+    """Dense groups larger than a beam, single pairs, ties and two labels, over several shards, blocks and parts: links and components by brute force."""
+    for name, value in (("SHARD_ROWS", 300), ("QUERY_ROWS", 90), ("PART_ROWS", 40)):
+        monkeypatch.setattr(hnsw, name, value)
+    rnd = np.random.RandomState(4)
+    dense = [c + 0.02 * rnd.randn(12) for c in rnd.randn(2, 12) for _ in range(320)]
+    pairs = [v for c in rnd.randn(60, 12) for v in (c, c + 0.05 * rnd.randn(12))]
+    x = np.array(dense + pairs + list(rnd.randn(100, 12)) + [pairs[0]])
+    labels = rnd.randint(0, 2, len(x))
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    while (root != (new := np.minimum(root, np.where(near, root[None, :], len(x)).min(1)))).any():
+        root = new
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+    assert near.sum(1).max() > 2 * hnsw.BEAM
+
+
+def test_dense_links_need_little_memory():
+    import tracemalloc
+
+    rnd = np.random.RandomState(1)
+    x = rnd.randn(1, 16) + 0.01 * rnd.randn(3000, 16)
+    graph = hnsw.Hnsw(hnsw.unit(x))
+    tracemalloc.start()
+    links = sum(len(a) for a, _ in graph.linked_parts(hnsw.unit(x), 0.93))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == 9_000_000 and peak < 120e6, peak
