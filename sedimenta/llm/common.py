@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -48,7 +49,14 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_root(spark)}/sedimenta-{what}-{uuid.uuid4().hex}"
 
 
-_OPEN: list[dict[str, DataFrame]] = []
+_LOCAL = threading.local()
+
+
+def _open() -> list[dict[str, DataFrame]]:
+    """The tables of each tidy() block that this thread is in."""
+    if not hasattr(_LOCAL, "blocks"):
+        _LOCAL.blocks = []
+    return _LOCAL.blocks
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
@@ -57,8 +65,8 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sedimenta_path = path
-    if _OPEN:
-        _OPEN[-1][path] = out
+    if _open():
+        _open()[-1][path] = out
     return out
 
 
@@ -70,28 +78,28 @@ def drop(*tables: DataFrame | None) -> None:
             sc = t.sparkSession.sparkContext
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-            for own in _OPEN:
+            for own in _open():
                 own.pop(path, None)
 
 
 @contextmanager
 def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Drop the tables cut inside once the block ends; what is handed to the given function passes to the block around."""
+    """Drop the tables cut inside once the block ends, by an error too; what is handed to the given function passes to the block around."""
     own: dict[str, DataFrame] = {}
 
     def keep(df: DataFrame) -> DataFrame:
         path = df._sedimenta_path
         own.pop(path, None)
-        if len(_OPEN) > 1:
-            _OPEN[-2][path] = df
+        if len(_open()) > 1:
+            _open()[-2][path] = df
         return df
 
-    _OPEN.append(own)
+    _open().append(own)
     try:
         yield keep
-        drop(*list(own.values()))
     finally:
-        _OPEN.pop()
+        _open().pop()
+        drop(*list(own.values()))
 
 
 def ship(spark: SparkSession) -> None:
@@ -196,20 +204,7 @@ def within(a: str, b: str, tau: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= tau
 
 
-def _narrow(rows: DataFrame) -> DataFrame:
-    """(key, id, fp) of rows (key, id, fp, n) of buckets with n members, under each of several blocks of the fingerprint's bits.
-
-    There are as many blocks as leave each enough bits to set n members apart: two of 32 bits, three of 21 or four of 16.
-    """
-    n = F.col("n")
-    width = F.when(n <= 1 << 18, 16).when(n <= 1 << 23, 21).otherwise(32)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.lit(64) / width).cast("int") - 1), lambda i: F.struct(i.alias("i"), (i * width).alias("at")))
-    part = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("fp"), F.col("b.at")), F.lit(64) - F.col("width"))
-    rows = rows.select("key", "id", "fp", width.alias("width"), F.explode(blocks).alias("b"))
-    return rows.select(F.xxhash64("key", "b.i", part).alias("key"), "id", "fp")
-
-
-def _crowded(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame | None]:
+def _crowded(members: DataFrame, tau: int, pairwise: int = PAIRWISE_MEMBERS) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b) of small buckets, and the rows (key, id, fp, n, lo) of large ones, if there are any."""
     sizes = cut(members.groupBy("key").agg(F.count("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "buckets")
     pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -217,18 +212,18 @@ def _crowded(members: DataFrame, tau: int) -> tuple[DataFrame, DataFrame | None]
     if several.isEmpty():
         return pairs, None
     rows = cut(members.join(several.select("key", "n", "lo"), "key").select("key", "id", "fp", "n", "lo"), "members")
-    few = rows.where(F.col("n") <= PAIRWISE_MEMBERS)
+    few = rows.where(F.col("n") <= pairwise)
     near = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fa")).join(few.select("key", F.col("id").alias("b"), F.col("fp").alias("fb")), "key")
     pairs = pairs.unionByName(near.where((F.col("a") < F.col("b")) & within("fa", "fb", tau)).select("a", "b"))
-    return pairs, rows.where(F.col("n") > PAIRWISE_MEMBERS)
+    return pairs, rows.where(F.col("n") > pairwise)
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, narrow: bool = False) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, pairwise: int = PAIRWISE_MEMBERS) -> DataFrame:
     """Components of the graph whose links are pairs that share a bucket and pass a test.
 
     members: (key long, id long, fp long), where fp is the id's fingerprint; pairs whose fingerprints differ in more than
-    tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test. With narrow, members of a
-    bucket of more than PAIRWISE_MEMBERS are candidates only if they also share a block of the fingerprint's bits.
+    tau bits may be left out. verify takes and returns pairs (a, b) and makes the whole test. Buckets of up to
+    pairwise members are compared pair by pair.
     The result (id, root) has a row for each linked id. It equals the components of all verified pairs of all
     buckets, but never lists the pairs of a large bucket: its members are compared with its first, then with the first
     member of each of its components (of up to LEADERS, if more than FINISH_MEMBERS are left) unless they are in it
@@ -237,14 +232,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int,
     component is left. So a bucket of n near copies costs n tests.
     """
     with tidy() as keep:
-        return keep(_linked(members, verify, tau, narrow))
+        return keep(_linked(members, verify, tau, pairwise))
 
 
-def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, narrow: bool) -> DataFrame:
-    pairs, large = _crowded(members, tau)
-    if narrow and large is not None:
-        more, large = _crowded(_narrow(large), tau)
-        pairs = pairs.unionByName(more)
+def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], tau: int, pairwise: int) -> DataFrame:
+    pairs, large = _crowded(members, tau, pairwise)
     if large is not None:
         pairs = pairs.unionByName(large.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
         large = large.where("id <> lo").select("key", "id", "fp")

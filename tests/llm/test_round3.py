@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import align, exact, hnsw, kmeans, language, sharding
+from sedimenta.llm import align, common, exact, hnsw, kmeans, language, sharding
 
 P = pytest.importorskip("public_tokenizers")
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -261,3 +261,17 @@ def test_dense_links_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert links == 9_000_000 and peak < 120e6, peak
+
+
+def test_scratch_tables_go_after_an_error(spark, tmp_path):
+    made = []
+    with pytest.raises(ZeroDivisionError), common.tidy():
+        made.append(common.cut(spark.range(3)))
+        with common.tidy() as keep:
+            kept = keep(common.cut(spark.range(4)))
+            made.append(common.cut(spark.range(5)))
+        assert kept.count() == 4
+        raise ZeroDivisionError
+    from pathlib import Path
+
+    assert not any(Path(t._sedimenta_path.removeprefix("file://")).exists() for t in [*made, kept])
