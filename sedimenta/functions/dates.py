@@ -84,10 +84,14 @@ def period(text: Column) -> Column:
 
 
 def slug_date(text: Column, slug: Column, otherwise: Column) -> Column:
-    """A page's date: a month-first date is looked for but not read by the strict dialect, so the year in the address decides."""
+    """A page's date: a month-first date is looked for but not read by the strict dialect, so the year in the address decides.
+
+    That year is the first number of the address that begins with 20 and two more digits; an id after it is none.
+    """
     near = F.regexp_extract(text, r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},?\s+\d{4}\b", 0)
-    year = lambda y: F.when(F.contains(slug, F.lit(y)), F.lit(f"{y}-06-01").cast("date"))
-    return F.coalesce(F.when(near != "", find_date(near, "strict")), year("2024"), year("2023"), otherwise)
+    named = F.regexp_extract(slug, r"(?:^|\D)(20\d{2})", 1)
+    year = F.when(named.isin("2023", "2024"), F.concat(named, F.lit("-06-01")).try_cast("date"))
+    return F.coalesce(F.when(near != "", find_date(near, "strict")), year, otherwise)
 
 
 def from_epoch(seconds: Column) -> Column:
