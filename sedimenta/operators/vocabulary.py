@@ -7,13 +7,17 @@ an automaton beats a search for each term.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.session import send_code
+from sedimenta.batches import parts
+from sedimenta.session import checkpointed, send_code
 
 #: Terms of one automaton; a larger vocabulary takes a pass for each so many terms, so what is broadcast is bounded.
 BLOCK = 100_000
@@ -30,44 +34,67 @@ def _automaton(terms: list[tuple[int, str]]):
     return a
 
 
-def _search(batches: Iterator[pa.RecordBatch], terms: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    """The last column is the lower-cased text, the one before what was found so far."""
+def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast, most: int | None) -> Iterator[pa.RecordBatch]:
+    """The last column is the lower-cased text; what is found, the first most of it, takes its place. Terms are in order, so the numbers of those found are."""
+    terms = shared.value
     automaton = _automaton(terms)
-    for b in batches:
-        found = [sorted({i for _, i in automaton.iter(t)}) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
-        before = b.column(b.num_columns - 2).to_pylist()
-        both = [(x or []) + [{"rank": terms[i][0], "term": terms[i][1]} for i in own] for x, own in zip(before, found, strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(both, pa.list_(pa.struct([("rank", pa.int64()), ("term", pa.string())]))), b.column(b.num_columns - 1)], names=b.schema.names)
+    ranks, words = pa.array([r for r, _ in terms], pa.int64()), pa.array([w for _, w in terms], pa.string())
+    for b in parts(batches, -1):
+        found = [np.array(sorted({i for _, i in automaton.iter(t)})[:most] if t else [], np.int32) for t in b.column(b.num_columns - 1).to_pylist()]
+        own = pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        both = pa.StructArray.from_arrays([ranks.take(own), words.take(own)], ["rank", "term"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, both)], names=[*b.schema.names[:-1], "_found"])
+
+
+def _blocks(vocabulary: DataFrame) -> list[Broadcast]:
+    """The terms with their ranks, sorted, in blocks of about BLOCK; one block at a time is in the driver as rows."""
+    spark = vocabulary.sparkSession
+    words = vocabulary.select(F.lower("term").alias("term"), F.col("rank").cast("long").alias("rank")).where("term <> ''").groupBy("term").agg(F.min("rank").alias("rank"))
+    words = checkpointed(words)
+    n = -(-words.count() // BLOCK)
+    each = (words.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) for i in range(n))
+    found = (sorted((r["rank"], r.term) for r in own.toLocalIterator()) for own in each)
+    return [spark.sparkContext.broadcast(terms) for terms in found if terms]
+
+
+def _passes(rows: DataFrame, blocks: list[Broadcast], most: int | None = None) -> DataFrame:
+    """Rows whose last column is the lower-cased text, once for each block, with what of the block is in it (_found) in its place.
+
+    The passes are tasks of their own, so a worker holds one automaton, however many blocks there are.
+    """
+    send_code(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_found", _FOUND)])
+    each = [rows.mapInArrow(partial(_search, shared=b, most=most), schema) for b in blocks]
+    return reduce(DataFrame.unionAll, each) if each else rows.select(*rows.columns[:-1], F.array().cast(_FOUND).alias("_found"))
 
 
 def with_terms(docs: DataFrame, vocabulary: DataFrame, text: str = "text", name: str = "terms", most: int | None = None) -> DataFrame:
     """Adds the terms that are substrings of the lower-cased text, in the order of (rank, term), the first most of them.
 
     vocabulary has term and rank (a long); terms are lower-cased, null and empty ones ignored, equal ones count once with
-    their least rank. No word boundaries. A null text has none. Only a block of terms at a time reaches the driver.
+    their least rank. No word boundaries. A null text has none. Only a block of terms at a time reaches the driver. With
+    several blocks the rows are numbered and written first, and the terms of each are brought together by its number.
     """
-    spark = docs.sparkSession
-    send_code(spark)
-    words = vocabulary.select(F.lower("term").alias("term"), F.col("rank").cast("long").alias("rank")).where("term <> ''").groupBy("term").agg(F.min("rank").alias("rank"))
-    n = words.count()
-    parts = max(1, -(-n // BLOCK))
-    rows = docs.withColumns({name: F.array().cast(_FOUND), "_low": F.lower(text)})
-    for i in range(parts):
-        own = words if parts == 1 else words.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i)
-        terms = sorted((r["rank"], r.term) for r in own.collect())
-        if not terms:
-            continue
-        shared = spark.sparkContext.broadcast(terms)
-        rows = rows.mapInArrow(lambda it, t=shared: _search(it, t.value), rows.schema)
-    found = F.col(name) if parts == 1 else F.array_sort(F.col(name))
-    names = F.transform(found, lambda x: x["term"])
-    return rows.withColumn(name, names if most is None else F.slice(names, 1, most)).drop("_low")
+    blocks = _blocks(vocabulary)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.lower(text).alias("_low"))
+    terms = lambda found: F.transform(found, lambda x: x["term"]).alias(name)
+    columns = lambda found: [terms(found) if c == name else F.col("row").getField(c).alias(c) for c in dict.fromkeys([*docs.columns, name])]
+    if len(blocks) < 2:
+        return _passes(own, blocks, most).select(*columns(F.col("_found")))
+    own = checkpointed(own.withColumn("_row", F.monotonically_increasing_id()))
+    found = _passes(own.select("_row", "_low"), blocks, most).where(F.size("_found") > 0)
+    found = found.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("_found"))
+    found = found.select("_row", F.col("_found") if most is None else F.slice("_found", 1, most).alias("_found"))
+    return own.join(found, "_row", "left").select(*columns(F.coalesce("_found", F.array().cast(_FOUND))))
 
 
 def term_rows(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
     """A row for each row of docs and each term in its text: the join of documents and vocabulary on containment."""
     kept = [c for c in docs.columns if c != text]
-    return with_terms(docs, vocabulary, text, "_terms").select(*kept, F.explode("_terms").alias("term"))
+    rows = docs.select(F.struct(*kept).alias("row"), F.lower(text).alias("_low")) if kept else docs.select(F.lower(text).alias("_low"))
+    found = _passes(rows, _blocks(vocabulary))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in kept], F.explode("_found.term").alias("term"))
 
 
 def with_any(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
