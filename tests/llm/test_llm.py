@@ -422,6 +422,28 @@ def test_near_copies(spark):
     assert len(want) >= 30 and found >= 0.97 * len(want)
 
 
+def test_edits_seen_never_says_too_much():
+    rnd = random.Random(32)
+    found = 0
+    for _ in range(400):
+        a = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 300)))
+        b = typo(rnd, a, min(len(a.replace(" ", "")), rnd.randint(0, 30))) + "x" * rnd.randint(0, 9)
+        most = len(b) // 5
+        seen = lines.edits_seen(a, b, most)
+        assert not seen or lines.edits_within(a, b, most)
+        found += seen
+    assert found > 100
+
+
+def test_equal_minima(spark):
+    raw = np.random.RandomState(4).randint(0, 3, (60, 24)).astype(np.uint8)
+    rows = [(*map(int, x.view(np.int64)), *map(int, y.view(np.int64))) for x, y in zip(raw[::2], raw[1::2], strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{s}{i} long" for s in "xy" for i in range(3)))
+    df = df.select(*[F.struct(*[F.col(f"{s}{i}").alias(f"m{i}") for i in range(3)]).alias(s) for s in "xy"])
+    got = [r.n for r in df.coalesce(1).select(lines.equal_minima("x", "y").alias("n")).collect()]
+    assert got == (raw[::2] == raw[1::2]).sum(1).tolist()
+
+
 def test_near_copies_do_not_hang_on_the_least_id(spark):
     import corpus_pipeline as p
 
