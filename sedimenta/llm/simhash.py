@@ -25,6 +25,8 @@ BITS = 64
 PAIR_COST = 8
 #: Sketches of a text and the minima in each: at a Jaccard of 0.8, 1 - (1 - 0.8 ** 6) ** 16 = 0.992 of the pairs share one.
 SKETCHES, ROWS = 16, 6
+#: Fingerprints of documents within so many bits are found by the pigeonhole principle.
+PROBED = 3
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -250,18 +252,30 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["id", "fp", "own"])
 
 
+def pigeonhole_members(prints: DataFrame, tau: int) -> DataFrame:
+    """(key, id, fp) of rows (id, fp) under each mask of the plan for tau bits: fingerprints that differ in tau bits or fewer share a key."""
+    distinct = cut(prints.select("fp").distinct(), "fingerprints")
+    table = F.array(*[F.lit(_signed(m)).cast("long") for m in plan(bit_counts(distinct), distinct.count(), tau)])
+    rows = prints.select("id", "fp", F.posexplode(table).alias("probe", "mask"))
+    return rows.select(F.xxhash64(F.lit("mask"), "probe", F.col("mask").bitwiseAND(F.col("fp"))).alias("key"), "id", "fp")
+
+
 def near_copies(docs: DataFrame, width: int, tau: int, similarity: float) -> DataFrame:
     """(doc_id, id, root) of each pair of doc_id and text: id is the text's hash, and equal roots are near copies.
 
-    Distinct texts that share a sketch are candidates. They are linked if their fingerprints differ in tau bits or
-    fewer and their sets of shingles have similarity (Jaccard) in common; root names a component of these links. A
+    Distinct texts whose fingerprints differ in PROBED bits or fewer are candidates, found by the pigeonhole principle as in
+    simhash_groups(), and so are those that share a sketch, as most pairs at a Jaccard of 0.8 differ in more bits than blocks can
+    find. They are linked if their fingerprints differ in tau bits or fewer and their sets of shingles have similarity (Jaccard) in common; root names a component of these links. A
     null text counts as empty; texts without words are near copies of each other.
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("id"), "text")
     nodes = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "nodes")
     prints = cut(nodes.mapInArrow(partial(_sketches, width=width), "id bigint, fp bigint, own array<bigint>"), "sketches")
-    members = prints.select("id", "fp", F.posexplode("own").alias("probe", "masked")).select(F.xxhash64("probe", "masked").alias("key"), "id", "fp")
+    sketched = prints.select("id", "fp", F.posexplode("own").alias("probe", "masked")).select(F.xxhash64("probe", "masked").alias("key"), "id", "fp")
+    print_of = lambda most: F.struct("fp", F.lit(most).alias("most")).alias("fp")
+    members = sketched.select("key", "id", print_of(tau)).unionByName(pigeonhole_members(prints, PROBED).select("key", "id", print_of(min(PROBED, tau))))
+    near = lambda a, b: F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= F.col(f"{a}.most")
 
     def verify(pairs: DataFrame) -> DataFrame:
         fa, fb = (prints.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
@@ -271,7 +285,7 @@ def near_copies(docs: DataFrame, width: int, tau: int, similarity: float) -> Dat
         close = both.mapInArrow(partial(_shared, width=width), "doc_id struct<a: bigint, b: bigint>, similarity double")
         return close.where(F.col("similarity") >= similarity).select("doc_id.a", "doc_id.b")
 
-    labels = link(members, verify, tau)
+    labels = link(members, verify, tau, near=near)
     return texts.select("doc_id", "id").distinct().join(labels, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
 
 

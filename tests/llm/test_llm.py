@@ -422,6 +422,24 @@ def test_near_copies(spark):
     assert len(want) >= 30 and found >= 0.97 * len(want)
 
 
+def test_near_fingerprints_share_a_bucket(spark):
+    """Near-dedup of the pipeline: all fingerprints within three bits meet by the pigeonhole principle, whatever their sketches."""
+    rnd = random.Random(31)
+    prints = []
+    for _ in range(300):
+        fp = rnd.getrandbits(64)
+        other = fp
+        for bit in rnd.sample(range(64), rnd.randint(1, 3)):
+            other ^= 1 << bit
+        prints += [fp, other]
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
+    keys = {}
+    for r in simhash.pigeonhole_members(df, simhash.PROBED).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    assert all(keys[i] & keys[i + 1] for i in range(0, 600, 2))
+
+
 def test_edits_seen_never_says_too_much():
     rnd = random.Random(32)
     found = 0
