@@ -453,6 +453,13 @@ def test_edits_seen_never_says_too_much():
     assert found > 100
 
 
+def test_short_lines_link(spark):
+    df = spark.createDataFrame([(1, "la ja"), (2, "la ra")], "doc_id long, text string")
+    occurring = common.cut(lines.occurrences(df))
+    roots = [r.root for r in lines.similar_lines(occurring, common.cut(lines.line_prints(occurring))).collect()]
+    assert len(roots) == 2 and len(set(roots)) == 1
+
+
 def test_equal_minima(spark):
     raw = np.random.RandomState(4).randint(0, 3, (60, 24)).astype(np.uint8)
     rows = [(*map(int, x.view(np.int64)), *map(int, y.view(np.int64))) for x, y in zip(raw[::2], raw[1::2], strict=True)]
